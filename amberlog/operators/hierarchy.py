@@ -3,8 +3,8 @@
 One round does two things to the forest of nodes that are still live:
 
 * *peel*: every node without live children leaves and sends its subtree size to its parent;
-* *contract*: inner nodes with a single live child are taken out of long chains (those whose coin is 1 while their parent's is 0), and
-  their name moves onto the edge of the child, so that a chain of length L is gone after O(log L) rounds, not L.
+* *contract*: inner nodes with a single live child are taken out of long chains (those whose draw is above their parent's and their
+  child's, a third of a chain), and their name moves onto the edge of the child: a chain of length L is gone after O(log L) rounds, not L.
 
 A node that leaves remembers the node it hung from, which leaves in a later round, and the names on the edge between.  What stays are top
 nodes and nodes that became their own parent: exactly one for each loop.  The rounds are then gone through in reverse, so a node finds its
@@ -34,64 +34,69 @@ def newest_links(rows: DataFrame, name: Column, parent: Column, order: Column) -
     return newest.join(names, F.col("p0") == F.col("n"), "left").select("k", F.col("n").alias("p"))
 
 
-def _coin(c: Column, salt: int) -> Column:
-    return F.xxhash64(c, F.lit(salt)).bitwiseAND(F.lit(1)) == 1
-
-
 def peel(links: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, list[DataFrame]]:
     """(what stays, [what left in round 1, in round 2, ...]) for links (k, p).
 
     Columns of a row that left: k, target, via (names between target and k, upwards), size (nodes below k as far as known), child (the one
     child whose own count is to be added, null if size is final) and child_size (what hung between).
     """
-    live = cut(links.select("k", "p", F.array().cast("array<string>").alias("via"), F.lit(0).cast("bigint").alias("sz"), F.lit(0).cast("bigint").alias("esz")))
+    # h and g are the draws of a node and its parent; each round hashes them anew, with the same expression, so that no round compiles code anew
+    draw = F.xxhash64
+    zero, nowhere = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    live = cut(links.select("k", "p", nowhere.alias("via"), zero.alias("sz"), zero.alias("esz"), draw("k").alias("h"), draw("p").alias("g")))
     sent = live.select(F.col("k").alias("to"), F.lit(0).cast("bigint").alias("add")).limit(0)
     gone: list[DataFrame] = []
-    for r in range(max_rounds):
+    for _ in range(max_rounds):
         hanging = live.where("p is not null and p <> k")
         if hanging.isEmpty():
             break
-        # what each live node hears from its children: how many there are, and the sizes sent by those that left in the round before
+        # what each live node hears from its children: how many there are, the highest draw, and the sizes sent by those that left before
         heard = (
-            hanging.select(F.col("p").alias("to"), F.lit(1).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("add"))
-            .unionByName(sent.select("to", F.lit(0).cast("bigint").alias("one"), "add"))
+            hanging.select(F.col("p").alias("to"), F.lit(1).cast("bigint").alias("one"), zero.alias("add"), F.col("h").alias("top"))
+            .unionByName(sent.select("to", zero.alias("one"), "add", F.lit(None).cast("bigint").alias("top")))
             .groupBy("to")
-            .agg(F.sum("one").alias("c"), F.sum("add").alias("add"))
+            .agg(F.sum("one").alias("c"), F.sum("add").alias("add"), F.max("top").alias("top"))
         )
+        inner = F.col("p").isNotNull() & (F.col("p") != F.col("k"))
+        alone = inner & (F.coalesce("c", F.lit(0)) == 1) & (F.col("h") > F.col("g")) & (F.col("h") > F.col("top"))
         told = live.join(heard, F.col("k") == F.col("to"), "left").select(
-            "k", "p", "via", (F.col("sz") + F.coalesce("add", F.lit(0))).alias("sz"), "esz", F.coalesce("c", F.lit(0)).alias("c")
+            "k", "p", "via", (F.col("sz") + F.coalesce("add", F.lit(0))).alias("sz"), "esz", "h", "g", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(alone, F.lit(False)).alias("out")
         )
-        inner = F.col("p").isNotNull() & (F.col("p") != F.col("k"))
-        told = told.withColumn("out", inner & (F.col("c") == 1) & _coin(F.col("k"), r) & ~_coin(F.col("p"), r))
-        up = told.select(*(F.col(c).alias(f"u_{c}") for c in ("k", "p", "via", "sz", "esz", "out")))
+        up = told.select(*(F.col(c).alias(f"u_{c}") for c in ("k", "p", "via", "sz", "esz", "out", "g")))
         # a node that is its own parent must not meet itself as a child
         both = told.join(up, F.when(inner, F.col("p")) == F.col("u_k"), "left")
         skip = F.coalesce("u_out", F.lit(False))
         both = both.select(
-            "k", "sz", "c", "out", skip.alias("skip"), "u_k", "u_p", "u_via", "u_sz", "u_esz", F.col("esz").alias("esz0"),
+            "k", "sz", "c", "out", "h", skip.alias("skip"), "u_k", "u_p", "u_via", "u_sz", "u_esz", F.col("esz").alias("esz0"),
+            F.when(skip, F.col("u_g")).otherwise(F.col("g")).alias("g"),
             F.when(skip, F.col("u_p")).otherwise(F.col("p")).alias("p"),
             F.when(skip, F.concat("via", F.array("u_k"), "u_via")).otherwise(F.col("via")).alias("via"),
             (F.col("esz") + F.when(skip, 1 + F.col("u_sz") + F.col("u_esz")).otherwise(0)).alias("esz"),
         )
         leaf = (F.col("c") == 0) & F.col("p").isNotNull() & (F.col("p") != F.col("k"))
         none = F.lit(None)
-        kind = lambda name, k, p, via, sz, esz, child: F.struct(F.lit(name).alias("kind"), k.alias("k"), p.alias("p"), via.alias("via"), sz.cast("bigint").alias("sz"), esz.cast("bigint").alias("esz"), child.cast("string").alias("child"))
+        h, g = draw("h"), F.when(F.col("p").isNotNull(), draw("g"))
+
+        def kind(name, k, p, via, sz, esz, child, h=none, g=none):
+            parts = {"k": k, "p": p, "via": via, "child": child.cast("string")} | {n: c.cast("bigint") for n, c in (("sz", sz), ("esz", esz), ("h", h), ("g", g))}
+            return F.struct(F.lit(name).alias("kind"), *(c.alias(n) for n, c in parts.items()))
+
         k, p, via, sz, esz = (F.col(c) for c in ("k", "p", "via", "sz", "esz"))
         below = 1 + sz + F.col("esz0")
         rows = F.array_compact(
             F.array(
                 F.when(leaf, kind("gone", k, p, via, sz, F.lit(0), none)),
-                F.when(~leaf & ~F.col("out"), kind("live", k, p, via, sz, esz, none)),
+                F.when(~leaf & ~F.col("out"), kind("live", k, p, via, sz, esz, none, h, g)),
                 F.when(
                     F.col("skip"),
                     kind("gone", F.col("u_k"), F.col("u_p"), F.col("u_via"), F.col("u_sz") + F.when(leaf, below).otherwise(0), F.when(leaf, 0).otherwise(1 + F.col("esz0")), F.when(~leaf, k)),
                 ),
-                F.when(leaf, kind("sent", p, none.cast("string"), F.array().cast("array<string>"), 1 + sz + esz, F.lit(0), none)),
+                F.when(leaf, kind("sent", p, none.cast("string"), nowhere, 1 + sz + esz, F.lit(0), none)),
             )
         )
         step = cut(both.select(F.explode(rows).alias("x")).select("x.*"))
         gone.append(step.where("kind = 'gone'").select("k", F.col("p").alias("target"), "via", F.col("sz").alias("size"), "child", F.col("esz").alias("child_size")))
-        live = step.where("kind = 'live'").select("k", "p", "via", "sz", "esz")
+        live = step.where("kind = 'live'").select("k", "p", "via", "sz", "esz", "h", "g")
         sent = step.where("kind = 'sent'").select(F.col("k").alias("to"), F.col("sz").alias("add"))
     else:
         raise RuntimeError(f"not peeled after {max_rounds} rounds")
@@ -128,7 +133,7 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
             (F.when(F.col("u_steps") >= 0, F.col("size") + F.col("child_size") + F.coalesce("d_n", F.lit(0))) if paths else F.lit(None).cast("bigint")).alias("descendants"),
         )
         done = done.unionByName(new)
-        done = cut(done) if i < len(gone) - 1 else done
+        done = cut(done) if (paths or i % 2) and i < len(gone) - 1 else done
     out = done.join(links.select(F.col("k").alias("l_k"), F.col("p").alias("parent")), F.col("k") == F.col("l_k")) if paths else done.withColumn("parent", F.lit(None).cast("string"))
     return out.select(
         F.col("k").alias("name"), "parent", "root", "steps", F.when(F.col("steps") >= 0, F.col("steps")).alias("depth"), "path", "descendants", (F.col("steps") < 0).alias("in_loop")

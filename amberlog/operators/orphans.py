@@ -35,8 +35,8 @@ def parents(log: DataFrame) -> DataFrame:
 
 def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     """The references of ``refs`` whose target is missing, deleted or late, with that status."""
-    total = refs.agg(F.count(F.lit(1)).alias("n"))
-    hot = refs.groupBy("target").agg(F.count(F.lit(1)).alias("n_refs")).join(F.broadcast(total), F.col("n_refs") * HOT_SHARE > F.col("n")).select(F.col("target").alias("hot_key"))
+    total = refs.count()
+    hot = refs.groupBy("target").agg(F.count(F.lit(1)).alias("n_refs")).where(F.col("n_refs") * HOT_SHARE > total).select(F.col("target").alias("hot_key"))
     hot = F.broadcast(hot)  # at most HOT_SHARE rows, by the condition above
     salted = refs.join(hot, F.col("target") == F.col("hot_key"), "left").withColumn(
         "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("seq", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,13 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint: survives lost executors, and the plan starts afresh from it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder: later plans start afresh from it, whichever executors are lost.
+
+    A written table rather than ``checkpoint()``, whose result carries the constraints of the plan it came from; in iterations with
+    conditions those multiply from round to round, and planning soon takes longer than the work.
+    """
+    return written(df, "cut")
+
+
+_made: list = []
+
+
+def _clean_up() -> None:
+    for path, fs in _made:
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; then the folder's owner clears it
+            return
+
+
+atexit.register(_clean_up)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.  Unlike :func:`cut` it keeps column pruning and filter pushdown for later reads."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, with column pruning and filter pushdown for later reads; removed when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())))
+    return spark.read.schema(df.schema).parquet(path)
