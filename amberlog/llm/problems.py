@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from amberlog.llm import frequencies, languages, tokens
+from amberlog.llm import frequencies, languages, mixing, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +38,31 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(_table(spark, sf, "documents"))
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    # documents have no topic of their own; whether a mail opens a thread or answers one stands in for it
+    topic = F.when(F.col("in_reply_to").isNull(), "opening").otherwise("answer")
+    return mixing.mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"), topic)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.outliers(_table(spark, sf, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.outliers(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_found, p6_frequencies, p7_found, p7_stretches, p8_ids)}
+    made = (p6_found, p6_frequencies, p7_found, p7_stretches, p8_ids, p9_mix, p9_shares, p10_found, p10_statistics)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
