@@ -1 +1 @@
-"""Part of amberlog; see the README for the map of modules."""
+"""Sources and sinks of typed values: text and binary forms, record files in XML, dictionaries."""
