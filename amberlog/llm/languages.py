@@ -37,6 +37,8 @@ LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё":
 LATIN_UK = {"г": "h", "ґ": "g", "є": "ye", "и": "y", "і": "i", "ї": "yi", "й": "y", "'": "", "’": ""}
 LATIN_OTHER = {"х": "h", "ц": "c", "щ": "sch", "ж": "j", "й": "j", "ю": "ju", "я": "ja", "ё": "jo", "є": "ie", "ї": "i"}
 BUCKETS, WIDTH, GRAMS, EPOCHS = 1 << 16, 16, (1, 2, 3, 4, 5), 4
+#: Steps of descent at least, so that few texts are shown more often.
+STEPS = 40_000
 #: Nats that a change of language within a text costs, and the share of right held-out sentences that may be rejected.
 CHANGE, REJECTED = 5.0, 0.002
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\s+-{1,3}\s+|\s*\n\s*\n\s*")
@@ -127,9 +129,9 @@ def train(texts: list[tuple[str, str]]) -> Model | None:
     data = [(features(s), y) for s, y in used]
     agreed = data
     for seed in (1, 2):  # what a model trained on the labels so far puts elsewhere is left out of the next
-        m = _descend(agreed, seed, 1)
+        m = _descend(agreed, seed, max(1, STEPS // 4 // len(agreed)))
         agreed = [(f, y) for f, y in data if m.logits(f).argmax() == y] or data
-    model = _descend(agreed, 3, EPOCHS)
+    model = _descend(agreed, 3, max(EPOCHS, STEPS // len(agreed)))
     z = np.array([model.logits(features(s)) for s, _ in held]) if held else np.zeros((0, len(LANGUAGES)))
     truth = np.array([y for _, y in held], int)
     if not len(z):
