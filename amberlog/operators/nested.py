@@ -17,7 +17,9 @@ ignored.  Of a repeated key the last counts.  Repeated bodies are walked each fo
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,42 +36,85 @@ def _no(constant: str):
     raise ValueError(constant)
 
 
-def _depth(text: str) -> int:
-    """An upper bound of the nesting of a JSON text, without parsing it."""
-    return text.count("[") + text.count("{")
-
-
 def parse(text: str | None):
-    """The value of a JSON text; raises ValueError if it is none.  The parser recurses, so very deep texts get a deeper stack for a moment."""
+    """The value of a JSON text; raises ValueError if it is none.  Texts nested too deeply for the recursive parser go to one with a stack."""
     if text is None:
         raise ValueError("null")
-    if _depth(text) < 900:
-        return json.loads(text, parse_constant=_no)
-    import sys
-    import threading
-
-    box: list = []
-
-    def run() -> None:
-        before = sys.getrecursionlimit()
-        try:
-            sys.setrecursionlimit(max(before, min(_depth(text), 200_000) + 1_000))
-            box.append(json.loads(text, parse_constant=_no))
-        except (ValueError, RecursionError) as e:
-            box.append(ValueError(str(e)))
-        finally:
-            sys.setrecursionlimit(before)
-
-    size = threading.stack_size(512 << 20)
     try:
-        t = threading.Thread(target=run)
-        t.start()
-        t.join()
-    finally:
-        threading.stack_size(size)
-    if isinstance(box[0], ValueError):
-        raise box[0]
-    return box[0]
+        return json.loads(text, parse_constant=_no)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _parse_deep(text: str):
+    """JSON without recursion: open containers lie on a stack, each with the key that waits for a value."""
+    done: list = []
+    stack: list[tuple] = [(done, None)]
+    at = _BLANK.match(text, 0).end()
+
+    def put(v) -> None:
+        box, k = stack[-1]
+        if k is None:
+            box.append(v)
+        else:
+            box[k] = v
+
+    def key_from(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"a key is missing at {i}")
+        k, i = scanstring(text, i + 1)
+        i = _BLANK.match(text, i).end()
+        if text[i : i + 1] != ":":
+            raise ValueError(f"a colon is missing at {i}")
+        return k, _BLANK.match(text, i + 1).end()
+
+    while True:
+        c = text[at : at + 1]
+        opened = None
+        if c == '"':
+            v, at = scanstring(text, at + 1)
+        elif c in _WORDS and text.startswith(_WORDS[c][0], at):
+            v, at = _WORDS[c][1], at + len(_WORDS[c][0])
+        elif c and c in "[{":
+            v = opened = [] if c == "[" else {}
+            at = _BLANK.match(text, at + 1).end()
+        elif m := _NUMBER.match(text, at):
+            v, at = (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        put(v)
+        if opened is not None and text[at : at + 1] != ("]" if c == "[" else "}"):
+            k = None
+            if c == "{":
+                k, at = key_from(at)
+            stack.append((opened, k))
+            continue
+        if opened is not None:
+            at += 1
+        while True:  # after a value: close containers, or go on to the next value of the innermost
+            at = _BLANK.match(text, at).end()
+            if len(stack) == 1:
+                if at != len(text):
+                    raise ValueError(f"more text at {at}")
+                return done[0]
+            box, k = stack[-1]
+            c = text[at : at + 1]
+            if c == ("]" if k is None else "}"):
+                stack.pop()
+                at += 1
+            elif c == ",":
+                at = _BLANK.match(text, at + 1).end()
+                if k is not None:
+                    k, at = key_from(at)
+                    stack[-1] = (box, k)
+                break
+            else:
+                raise ValueError(f"a comma is missing at {at}")
 
 
 def _tag(x) -> int | None:
@@ -115,7 +160,7 @@ def walk(body: str | None) -> list[dict]:
     """The nodes of one body in order of ``pre``."""
     try:
         top = parse(body)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
     nodes: list[dict] = []
     clock = 0

@@ -78,5 +78,70 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide)}
 
 
+# the same by SQL, for queries that SQL can express on whole tables
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')"
+
+
+def _key(x: str) -> str:
+    return _trim(f"replace(coalesce({x}, ''), '|', '')")
+
+
+def local_sql(x: str) -> str:
+    return _trim(f"regexp_replace({_trim(f"coalesce({x}, '')")}, '^(?:\\{{[^}}]*\\}}|[A-Za-z_][A-Za-z0-9_.-]*:)', '')")
+
+
+def deletes_sql(x: str) -> str:
+    return f"lower({local_sql(x)}) = 'delete'"
+
+
+def key_sql(x: str) -> str:
+    return _key(x)
+
+
+_CLASSES = f"""with recursive raw as (select {_key(local_sql("about"))} as k, {_key(local_sql("subclassof"))} as p, def_seq from ontology_class),
+last as (select k, arg_max(p, def_seq) as p from raw where k <> '' group by k),
+up as (select a.k, b.k as p from last a left join last b on a.p = b.k),
+reach(k, c) as (select k, k from up union select r.k, u.p from reach r join up u on u.k = r.c where u.p is not null),
+tops as (select r.k, r.c as root from reach r join up u on u.k = r.c where u.p is null),
+steps as (select k, count(*) - 1 as n from reach group by k)"""
+_P1 = (
+    _CLASSES
+    + """, on_loop as (select u.k from up u join reach r on r.k = u.p and r.c = u.k)
+select s.k as about, coalesce(t.root, l.root) as root, cast(case when t.root is null then -1 else s.n end as integer) as n_steps
+from steps s left join tops t on t.k = s.k left join (select r.k, min(r.c) as root from reach r join on_loop o on o.k = r.c group by r.k) l on l.k = s.k"""
+)
+_P1_DESCENDANTS = _CLASSES + " select r.c as ancestor, r.k as descendant, a.n - b.n as distance from reach r join tops t on t.k = r.k join steps a on a.k = r.k join steps b on b.k = r.c where r.c <> r.k"
+_MT = f"""coalesce(epoch_us(try_cast(case when {_trim("mt")} similar to '[0-9]{{4}}-.*(Z|[+-][0-9]{{2}}:[0-9]{{2}})' then {_trim("mt")} when {_trim("mt")} similar to '[0-9]{{4}}-.*' then concat({_trim("mt")}, 'Z') end as timestamptz)), epoch_us(try_strptime({_trim("mt")}, '%m/%d/%Y %I:%M:%S %p')), -4611686018427387904)"""
+_STATE = f"""with log as (select seq, arrived, {_key("id")} as k, lower({local_sql("tp")}) as tp, {_MT} as changed_us, props from rrecord_log),
+winner as (select k, seq, tp from (select *, row_number() over (partition by k order by changed_us desc, seq) as rn from log where k <> '') t where rn = 1),
+defined as (select k, min(seq) as since from log where k <> '' and tp <> 'delete' group by k)"""
+_ORPHANS = (
+    _STATE
+    + f""", entry as (select seq, arrived, tp, pos, props[pos + 1] as e from (select *, unnest(range(len(props))) as pos from log where tp <> 'delete') t),
+ref as (select seq, arrived, tp, cast(pos as integer) as pos, {_key("case e.tag when 2 then e.link when 3 then e.sourcelink end")} as target from entry),
+found as (select r.*, case when d.k is null then 'missing' when w.tp = 'delete' then 'deleted' when d.since > r.seq then 'late' end as status
+from ref r left join defined d on d.k = r.target left join winner w on w.k = r.target where r.target <> '')"""
+)
+_P5 = f"""with fact as (select subj, lower({local_sql("pred")}) as pred, {_trim("obj")} as s from triples where subj is not null and {_trim("coalesce(obj, '')")} <> ''),
+cell as (select f.subj, f.pred, p.single_valued, case p.range_of
+when 'integer' then case when regexp_full_match(s, '[+-]?[0-9]+') or regexp_full_match(s, '[+-]?[0-9]{{1,3}}( [0-9]{{3}})+') then cast(try_cast(regexp_replace(s, '[^0-9-]', '', 'g') as decimal(38, 0)) as varchar) end
+when 'real' then case when regexp_full_match(s, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?') then cast(try_cast(replace(s, ',', '.') as double) as varchar) end
+when 'boolean' then case when lower(s) in ('t', 'true', '1') then 't' when lower(s) in ('f', 'false', '0') then 'f' end
+when 'date' then cast(try_cast(case when regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then s when regexp_full_match(s, '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}') then concat(s[7:10], '-', s[4:5], '-', s[1:2])
+when regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}') then concat(s, '-01') when regexp_full_match(s, '[0-9]{{4}}') then concat(s, '-01-01') end as date) as varchar)
+else s end as v from fact f join onto_props p on lower(p.about) = f.pred)
+select subj, pred, status from (select subj, pred, case when count(v) = 0 then 'untyped' when bool_or(single_valued) and count(distinct v) > 1 then 'conflict' end as status from cell group by subj, pred) t where status is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1,
+        "p1_descendants": _P1_DESCENDANTS,
+        "p2_found": _STATE + " select k as id, seq from winner where tp <> 'delete'",
+        "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
+        "p4_report": _ORPHANS + " select tp, strftime(arrived, '%Y-%m') as month, status, count(*) as n_refs, count(distinct target) as n_targets from found where status is not null group by 1, 2, 3",
+        "p5_found": _P5,
+    }
