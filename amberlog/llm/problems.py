@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberlog.llm import frequencies, languages, mixing, quality, tokens
+from amberlog.plans.problems import key_sql, local_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,5 +66,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in made}
 
 
+_TERMS = f"""with log as (select {key_sql("id")} as rec, lower({local_sql("tp")}) as tp, props from rrecord_log),
+kept as (select * from log where rec <> '' and tp <> 'delete'),
+entry as (select rec, unnest(props) as e from kept),
+occurrence as (select 'tp' as field, tp as term, rec from kept where tp <> ''
+union all select 'value', unnest(regexp_extract_all(lower(nfc_normalize(regexp_replace(e.value, '\\p{{Cf}}', '', 'g'))), '[\\p{{L}}\\p{{Nd}}]+')), rec from entry where e.tag = 1 and e.value is not null),
+counted as (select field, term, count(*) as n_occurrences, count(distinct rec) as n_records from occurrence group by 1, 2),
+marked as (select *, case when n_records < 3 then 'rare' when n_records > 0.05 * (select count(distinct rec) from kept) then 'common' end as mark from counted)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": _TERMS + " select field, term, mark from marked where mark is not null",
+        "p6_frequencies": _TERMS + " select field, term, n_occurrences, n_records, mark from marked",
+    }
