@@ -81,7 +81,7 @@ def tree(ids: DataFrame, records: DataFrame, template: Template) -> DataFrame:
 
 def generic_tree(ids: DataFrame, records: DataFrame) -> DataFrame:
     """(root, level, direction, prop, id, tp): a record, what it links to, and what links to it, by predicate and type."""
-    here = ids.select(F.col("id").alias("root")).distinct()
+    here = ids.join(records.select("id"), "id", "left_semi").select(F.col("id").alias("root")).distinct()
     types = records.select(F.col("id").alias("n_id"), F.col("tp").alias("n_tp"))
     out_ = here.join(links(records), F.col("root") == F.col("id")).select("root", F.lit(1).alias("level"), F.lit("direct").alias("direction"), "prop", F.col("target").alias("id"))
     in_ = here.join(links(records), F.col("root") == F.col("target")).select("root", F.lit(2).alias("level"), F.lit("inverse").alias("direction"), "prop", "id")

@@ -89,7 +89,7 @@ def from_spark(value, kind: Kind):
 
 
 def real_text(x: float) -> str:
-    """The shortest decimal form: plain from 1e-5 up to 1e15, else with E and a signed exponent of two digits at least."""
+    """The shortest decimal form: plain from 1e-4 up to 1e15, else with E and a signed exponent of two digits at least."""
     if x != x:
         return "NaN"
     if x in (float("inf"), float("-inf")):
@@ -99,7 +99,7 @@ def real_text(x: float) -> str:
         return "-0" if sign else "0"
     point = len(digits) + exponent
     s = "".join(map(str, digits))
-    if -5 < point <= 15:
+    if -4 < point <= 15:
         s = s + "0" * exponent if exponent >= 0 else s[:point] + "." + s[point:] if point > 0 else "0." + "0" * -point + s
     else:
         s = s[0] + ("." + s[1:] if len(s) > 1 else "") + f"E{'+' if point > 0 else '-'}{abs(point - 1):02d}"
