@@ -105,3 +105,58 @@ def name_in(fields_: Column, lang: str, name_prop: str = "name", unlabelled: str
     exact = F.get(F.filter(named, lambda f: f["lang"] == lang), F.lit(0))["value"]
     any_, its = F.get(named, F.lit(0))["value"], F.coalesce(F.get(named, F.lit(0))["lang"], F.lit(unlabelled))
     return F.coalesce(exact, F.when(its == lang, any_).otherwise(F.concat(any_, F.lit(" ("), its, F.lit(")"))))
+
+
+def record(records: DataFrame, id_: str, with_inverse: bool = False) -> DataFrame:
+    """The record of an id; its entries without inverse links unless asked for."""
+    x = records.where(F.col("id") == id_)
+    return x if with_inverse else x.withColumn("props", F.filter("props", lambda e: e["tag"] != 3))
+
+
+def with_inverse_entries(records: DataFrame, most: int = 10_000) -> DataFrame:
+    """Records with an entry of tag 3 for every link that points to them, for records with at most ``most`` such links.
+
+    A record with more keeps its own entries and takes its inverse links from :func:`links`, since they would not fit into one row.
+    """
+    back = links(records).select(F.col("target").alias("id"), "prop", F.col("id").alias("source"))
+    few = back.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("id")
+    entry = F.struct(F.lit(3).alias("tag"), F.col("prop"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("link"), F.col("source").alias("sourcelink"))
+    lists = back.join(few, "id", "left_semi").groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(entry)).alias("__in"))
+    empty = F.array().cast(records.schema["props"].dataType)
+    return records.join(lists, F.col("id") == F.col("__id"), "left").withColumn("props", F.concat(F.coalesce("props", empty), F.coalesce("__in", empty))).drop("__id", "__in")
+
+
+def portrait(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, prop, target, target_tp): the direct links of each id with the type of the record they lead to, existing ones only."""
+    types = records.select(F.col("id").alias("__t"), F.col("tp").alias("target_tp"))
+    mine = links(records).join(ids.select("id").distinct(), "id", "left_semi")
+    return mine.join(types, F.col("target") == F.col("__t")).select("id", "prop", "target", "target_tp")
+
+
+# accessors to the entries of one record
+
+
+def field_of(props: Column, prop: str) -> Column:
+    """The first value of a property, null without one."""
+    return F.get(F.filter(props, lambda e: (e["tag"] == 1) & (e["prop"] == prop)), F.lit(0))["value"]
+
+
+def texts_of(props: Column, prop: str) -> Column:
+    """All values of a property with their languages, in order."""
+    return F.transform(F.filter(props, lambda e: (e["tag"] == 1) & (e["prop"] == prop)), lambda e: F.struct(e["value"].alias("value"), e["lang"].alias("lang")))
+
+
+def text_of(props: Column, prop: str, lang: str = "ru") -> Column:
+    """The value in a language if there is one, else the last value."""
+    all_ = texts_of(props, prop)
+    return F.coalesce(F.get(F.filter(all_, lambda t: t["lang"] == lang), F.lit(0))["value"], F.element_at(F.when(F.size(all_) > 0, all_), -1)["value"])
+
+
+def link_of(props: Column, prop: str) -> Column:
+    """The first link of a property, null without one."""
+    return F.get(F.filter(props, lambda e: (e["tag"] == 2) & (e["prop"] == prop)), F.lit(0))["link"]
+
+
+def sources_of(props: Column, prop: str) -> Column:
+    """The sources of all inverse links of a property, in order."""
+    return F.transform(F.filter(props, lambda e: (e["tag"] == 3) & (e["prop"] == prop)), lambda e: e["sourcelink"])

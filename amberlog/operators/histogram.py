@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 PER_BUCKET = 16
 
 
-def bounds(keys: DataFrame, key: str) -> tuple[int, int, int] | None:
+def bounds(keys: DataFrame, key: str, per_bucket: int = PER_BUCKET) -> tuple[int, int, int] | None:
     """(min, max, buckets), or None without keys; one aggregate over the key column (from file statistics where the source has them)."""
     r = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
     if not r["n"]:
         return None
-    n = r["n"] // PER_BUCKET
+    n = r["n"] // per_bucket
     return (int(r["lo"]), int(r["hi"]), 1 if n < 1 or r["lo"] == r["hi"] else n)
 
 
@@ -30,9 +30,9 @@ def bucket(key: Column, lo: int, hi: int, n: int) -> Column:
     return F.when(x >= 0, F.floor(x / (hi - lo))).otherwise(F.ceil(x / (hi - lo))).cast("bigint")
 
 
-def histogram(keys: DataFrame, key: str) -> DataFrame:
+def histogram(keys: DataFrame, key: str, per_bucket: int = PER_BUCKET) -> DataFrame:
     """(pos, c, start): bucket, keys in it, keys before it; buckets without keys are left out."""
-    b = bounds(keys, key)
+    b = bounds(keys, key, per_bucket)
     if b is None:
         return keys.select(F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("start")).limit(0)
     counts = keys.where(F.col(key).isNotNull()).groupBy(bucket(F.col(key), *b).alias("pos")).agg(F.count(F.lit(1)).alias("c"))

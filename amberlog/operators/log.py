@@ -41,3 +41,26 @@ def replay(log: DataFrame, order: str, saved: int) -> DataFrame:
 def compact(log: DataFrame, key: str, order: list[str], is_empty: Column, path: str) -> None:
     """Writes the current view as the new static part."""
     current(log, key, order, is_empty).write.mode("overwrite").parquet(path)
+
+
+def append(log: DataFrame, rows: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """``rows`` with positions after the last of ``log``, in the order of ``by``; they are ranked by ranges, not in one task."""
+    from amberlog.operators.lookup import ranked
+
+    last = log.agg(F.coalesce(F.max(order) + 1, F.lit(0))).first()[0]
+    return ranked(rows, by, "__at").withColumn(order, F.col("__at") - 1 + F.lit(last)).drop("__at")
+
+
+def between(log: DataFrame, order: str, first: int, n: int) -> DataFrame:
+    """n rows from a position on: a range that reaches the scan."""
+    return log.where((F.col(order) >= first) & (F.col(order) < first + n))
+
+
+def without_flagged(rows: DataFrame, flag: str) -> DataFrame:
+    """Rows that are not flagged as deleted; a null flag is none."""
+    return rows.where(~F.coalesce(F.col(flag), F.lit(False)))
+
+
+def collisions(rows: DataFrame, code: Column, *keys: str) -> DataFrame:
+    """(n_rows, n_codes, n_keys): how often different keys share a code."""
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(code).alias("n_codes"), F.count_distinct(*keys).alias("n_keys"))

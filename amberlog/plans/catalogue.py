@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberlog.functions import labels
+from amberlog.functions import hashes, labels
 from amberlog.operators import classes, graph, histogram, ingest, log, lookup, names, partitions, triples, words
+from amberlog.plans import problems
 from amberlog.sources.typed import INTEGER, STRING, record, text_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,6 +356,102 @@ def static_index_dedup(spark, sf):
     return partitions.latest_offset(_t(spark, sf, "events"), "user_id", "event_id")
 
 
+# more of the log, codes, properties and the record graph over the record log
+
+
+@query("select s_suppkey, 25 + row_number() over (order by s_suppkey) - 1 as pos from supplier")
+def append_positions(spark, sf):
+    base = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("pos"))
+    return log.append(base, _t(spark, sf, "supplier").select("s_suppkey"), "pos", ["s_suppkey"]).select("s_suppkey", "pos")
+
+
+@query("select event_id, user_id from events where event_id >= 300 and event_id < 340")
+def values_between(spark, sf):
+    return log.between(_t(spark, sf, "events").select("event_id", "user_id"), "event_id", 300, 40)
+
+
+@query("select o_orderkey from orders where not (o_orderstatus = 'F')")
+def flagged_rows_hidden(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("deleted"))
+    return log.without_flagged(o, "deleted").select("o_orderkey")
+
+
+@query("select o_orderkey, o_custkey from orders where o_totalprice > 100000 and o_custkey = 7")
+def partial_index(spark, sf):
+    applicable = _t(spark, sf, "orders").where("o_totalprice > 100000")
+    return lookup.by_key(applicable, "o_custkey", 7).select("o_orderkey", "o_custkey")
+
+
+_HASH = "list_reduce(list_concat([cast(0 as bigint)], list_transform(range(1, length(p_name) + 1), lambda i: cast(ord(p_name[i]) % 256 as bigint))), lambda h, c: (((h + c) % 4294967296) - ((((h + c) % 4294967296) * 8192 % 4294967296) | (((h + c) % 4294967296) // 524288)) + 4294967296) % 4294967296)"
+
+
+@query(f"select p_partkey, cast(case when h >= 2147483648 then h - 4294967296 else h end as integer) as code from (select p_partkey, {_HASH} as h from part) t")
+def string_hash(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", hashes.low_byte_hash("p_name").alias("code"))
+
+
+@query(f"select count(*) as n_rows, count(distinct {_HASH}) as n_codes, count(distinct p_name) as n_keys from part")
+def hash_collisions(spark, sf):
+    return log.collisions(_t(spark, sf, "part"), hashes.low_byte_hash("p_name"), "p_name")
+
+
+@query("select domain_of as tp, about as prop, row_number() over (partition by domain_of order by priority nulls last, about) - 1 as pos, count(*) over (partition by domain_of) as total from onto_props")
+def prop_positions(spark, sf):
+    return classes.positions(_t(spark, sf, "onto_props"))
+
+
+def _records(spark, sf):
+    """The current records with clean ids, names and links."""
+    from amberlog.functions.names import key_of, local_lower
+    from amberlog.operators.changes import current_state
+
+    clean = F.transform(
+        "props",
+        lambda e: F.struct(
+            e["tag"].alias("tag"), local_lower(e["prop"]).alias("prop"), e["value"].alias("value"), e["lang"].alias("lang"), key_of(e["link"]).alias("link"), key_of(e["sourcelink"]).alias("sourcelink")
+        ),
+    )
+    return current_state(_t(spark, sf, "rrecord_log")).select(F.col("__key").alias("id"), local_lower("tp").alias("tp"), clean.alias("props"))
+
+
+_RECORDS = (
+    problems.STATE
+    + f", rec as (select w.k as id, w.tp, l.props from winner w join rrecord_log l on l.seq = w.seq where w.tp <> 'delete'), entry as (select id, tp, unnest(props) as e from rec), link as (select id, tp, lower({problems.local_sql('e.prop')}) as prop, {problems.key_sql('e.link')} as target from entry where e.tag = 2), field as (select id, tp, lower({problems.local_sql('e.prop')}) as prop, e.value, e.lang from entry where e.tag = 1)"
+)
+
+
+@query(f"{_RECORDS} select target, prop as pred, count(*) as n_sources, min(id) as first_source from link where target <> '' group by 1, 2")
+def record_inverse_links(spark, sf):
+    return graph.inverse(graph.links(_records(spark, sf)), "target", "id", F.col("prop"))
+
+
+@query(f"{_RECORDS} select l.id, l.prop, l.target, r.tp as target_tp from link l join rec r on r.id = l.target where l.tp = 'naming'")
+def record_portraits(spark, sf):
+    r = _records(spark, sf)
+    return graph.portrait(r, r.where("tp = 'naming'"))
+
+
+@query(
+    f"{_RECORDS}, hit as (select distinct id, tp from field where prop in ('name', 'alias') and starts_with(upper(value), 'BA')), ref as (select l.id, l.target from link l join rec r on r.id = l.target where l.tp = 'naming' and l.prop = 'referred-sys') select distinct coalesce(f.target, h.id) as id from hit h left join ref f on f.id = h.id"
+)
+def record_name_search(spark, sf):
+    r = _records(spark, sf)
+    named = graph.fields(r).where(F.col("prop").isin("name", "alias"))
+    hits = lookup.by_prefix(named, "value", "ba").select("id", "tp").distinct()
+    refs = graph.links(r).where("prop = 'referred-sys'").select(F.col("id").alias("r_id"), F.col("target").alias("ref"))
+    x = hits.join(refs, (F.col("id") == F.col("r_id")) & (F.col("tp") == "naming"), "left").select("id", "tp", "ref")
+    return graph.resolve_aliases(x, "id", "tp", "naming", "ref", r)
+
+
+@query(
+    f"{_RECORDS} select p.id as root, '' as path, 0 as level, p.id, p.prop, p.value from field p where p.tp = 'person' and p.prop = 'name' union all select p.id, '/^reflected/in-doc', 2, f.id, f.prop, f.value from rec p join link a on a.target = p.id and a.prop = 'reflected' join link b on b.id = a.id and b.prop = 'in-doc' join field f on f.id = b.target and f.prop = 'uri' where p.tp = 'person'"
+)
+def record_trees(spark, sf):
+    r = _records(spark, sf)
+    shape = graph.Template(fields=("name",), inverse={"reflected": graph.Template(fields=("none",), direct={"in-doc": graph.Template(fields=("uri",))})})
+    return graph.tree(r.where("tp = 'person'"), r, shape).select("root", "path", "level", "id", "prop", "value")
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, (f, _) in _ALL.items()}
 

@@ -115,11 +115,11 @@ from steps s left join tops t on t.k = s.k left join (select r.k, min(r.c) as ro
 )
 _P1_DESCENDANTS = _CLASSES + " select r.c as ancestor, r.k as descendant, a.n - b.n as distance from reach r join tops t on t.k = r.k join steps a on a.k = r.k join steps b on b.k = r.c where r.c <> r.k"
 _MT = f"""coalesce(epoch_us(try_cast(case when {_trim("mt")} similar to '[0-9]{{4}}-.*(Z|[+-][0-9]{{2}}:[0-9]{{2}})' then {_trim("mt")} when {_trim("mt")} similar to '[0-9]{{4}}-.*' then concat({_trim("mt")}, 'Z') end as timestamptz)), epoch_us(try_strptime({_trim("mt")}, '%m/%d/%Y %I:%M:%S %p')), -4611686018427387904)"""
-_STATE = f"""with log as (select seq, arrived, {_key("id")} as k, lower({local_sql("tp")}) as tp, {_MT} as changed_us, props from rrecord_log),
+STATE = f"""with log as (select seq, arrived, {_key("id")} as k, lower({local_sql("tp")}) as tp, {_MT} as changed_us, props from rrecord_log),
 winner as (select k, seq, tp from (select *, row_number() over (partition by k order by changed_us desc, seq) as rn from log where k <> '') t where rn = 1),
 defined as (select k, min(seq) as since from log where k <> '' and tp <> 'delete' group by k)"""
 _ORPHANS = (
-    _STATE
+    STATE
     + f""", entry as (select seq, arrived, tp, pos, props[pos + 1] as e from (select *, unnest(range(len(props))) as pos from log where tp <> 'delete') t),
 ref as (select seq, arrived, tp, cast(pos as integer) as pos, {_key("case e.tag when 2 then e.link when 3 then e.sourcelink end")} as target from entry),
 found as (select r.*, case when d.k is null then 'missing' when w.tp = 'delete' then 'deleted' when d.since > r.seq then 'late' end as status
@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p1_descendants": _P1_DESCENDANTS,
-        "p2_found": _STATE + " select k as id, seq from winner where tp <> 'delete'",
+        "p2_found": STATE + " select k as id, seq from winner where tp <> 'delete'",
         "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
         "p4_report": _ORPHANS + " select tp, strftime(arrived, '%Y-%m') as month, status, count(*) as n_refs, count(distinct target) as n_targets from found where status is not null group by 1, 2, 3",
         "p5_found": _P5,
