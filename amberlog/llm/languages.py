@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from amberlog.functions.names import is_delete, local_lower
 
-#: Most labelled texts that a model is trained on, taken in the order of a hash of the text.
-TRAINING_TEXTS = 6_000
+#: Most labelled texts that a model is trained on, and how many times as many labelled rows are looked at to find as many distinct ones.
+TRAINING_TEXTS, OVERSAMPLING = 6_000, 8
 #: The languages told apart and their codes of two and three letters.
 CODES = {"en": "en", "eng": "en", "ru": "ru", "rus": "ru", "uk": "uk", "ukr": "uk", "de": "de", "deu": "de", "ger": "de", "fr": "fr", "fra": "fr", "fre": "fr", "es": "es", "spa": "es", "it": "it", "ita": "it"}
 LANGUAGES = ("en", "ru", "uk", "de", "fr", "es", "it")
@@ -188,10 +188,16 @@ def texts_of(log: DataFrame) -> DataFrame:
 
 
 def fit(texts: DataFrame, bound: int = TRAINING_TEXTS) -> Model | None:
-    """A model trained on at most ``bound`` distinct labelled texts: those with the least hashes."""
+    """A model trained on at most ``bound`` distinct labelled texts: those with the least hashes of a share of all labelled rows.
+
+    The share (1 up to OVERSAMPLING times the bound) is taken by the hash before anything is shuffled, so no more than the sample moves.
+    """
     code = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
     usable = texts.select("value", code.alias("code")).where(code.isin(*CODES) & (F.length(F.trim("value")) > 0))
-    sample = usable.groupBy("value").agg(F.min("code").alias("code")).orderBy(F.xxhash64("value"), "value").limit(bound).collect()
+    share = min(1.0, OVERSAMPLING * bound / max(usable.count(), 1))
+    place = F.pmod(F.xxhash64("value"), F.lit(1 << 40))
+    chosen = usable.where(place < int(share * (1 << 40))) if share < 1 else usable
+    sample = chosen.groupBy("value").agg(F.min("code").alias("code")).orderBy(place, "value").limit(bound).collect()
     return train([(r.value, CODES[r.code]) for r in sample])
 
 
