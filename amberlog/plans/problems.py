@@ -114,6 +114,15 @@ select s.k as about, coalesce(t.root, l.root) as root, cast(case when t.root is
 from steps s left join tops t on t.k = s.k left join (select r.k, min(r.c) as root from reach r join on_loop o on o.k = r.c group by r.k) l on l.k = s.k"""
 )
 _P1_DESCENDANTS = _CLASSES + " select r.c as ancestor, r.k as descendant, a.n - b.n as distance from reach r join tops t on t.k = r.k join steps a on a.k = r.k join steps b on b.k = r.c where r.c <> r.k"
+_P1_HIERARCHY = (
+    _CLASSES
+    + """, paths as (select r.k, string_agg(r.c, '/' order by s.n) as path from reach r join steps s on s.k = r.c group by r.k),
+below as (select c, count(*) - 1 as n from reach group by c),
+on_loop as (select u.k from up u join reach r on r.k = u.p and r.c = u.k), loops as (select r.k, min(r.c) as root from reach r join on_loop o on o.k = r.c group by r.k)
+select s.k as about, u.p as parent, coalesce(t.root, l.root) as root, cast(case when t.root is not null then s.n end as integer) as depth, case when t.root is not null then p.path end as path,
+case when t.root is not null then b.n end as n_descendants, t.root is null as in_loop
+from steps s join up u on u.k = s.k left join tops t on t.k = s.k left join loops l on l.k = s.k join paths p on p.k = s.k join below b on b.c = s.k"""
+)
 _MT = f"""coalesce(epoch_us(try_cast(case when {_trim("mt")} similar to '[0-9]{{4}}-.*(Z|[+-][0-9]{{2}}:[0-9]{{2}})' then {_trim("mt")} when {_trim("mt")} similar to '[0-9]{{4}}-.*' then concat({_trim("mt")}, 'Z') end as timestamptz)), epoch_us(try_strptime({_trim("mt")}, '%m/%d/%Y %I:%M:%S %p')), -4611686018427387904)"""
 STATE = f"""with log as (select seq, arrived, {_key("id")} as k, lower({local_sql("tp")}) as tp, {_MT} as changed_us, props from rrecord_log),
 winner as (select k, seq, tp from (select *, row_number() over (partition by k order by changed_us desc, seq) as rn from log where k <> '') t where rn = 1),
@@ -136,9 +145,26 @@ else s end as v from fact f join onto_props p on lower(p.about) = f.pred)
 select subj, pred, status from (select subj, pred, case when count(v) = 0 then 'untyped' when bool_or(single_valued) and count(distinct v) > 1 then 'conflict' end as status from cell group by subj, pred) t where status is not null"""
 
 
+#: The declared properties of the test tables, fixed and clean: type by name.
+_DECLARED = {
+    "name": "string", "alias": "string", "age": "integer", "birth-date": "date", "height": "real", "is-alive": "boolean", "from-date": "date", "uri": "string", "n-pages": "integer", "exposure": "real",
+    "is-colour": "boolean", "ground": "string", "description": "string", "comment": "string", "father": "iri", "participant": "iri", "reflected": "iri", "in-doc": "iri", "in-collection": "iri",
+    "collection-item": "iri", "referred-sys": "iri", "has-member": "iri", "type": "iri",
+}
+
+
+def _wide_sql() -> str:
+    cast = {"integer": "decimal(38, 0)", "real": "double", "boolean": "boolean", "date": "date"}
+    columns = ", ".join(f"min(cast(case when c.pred = '{a}' then c.v end as {cast.get(k, 'varchar')})) as \"{a}\"" for a, k in _DECLARED.items())
+    cells = _P5[: _P5.index("\nselect subj, pred, status")]
+    return f"{cells} select a.subj, {columns} from (select distinct subj from triples where subj is not null) a left join cell c on c.subj = a.subj group by a.subj"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_hierarchy": _P1_HIERARCHY,
+        "p5_wide": _wide_sql(),
         "p1_descendants": _P1_DESCENDANTS,
         "p2_found": STATE + " select k as id, seq from winner where tp <> 'delete'",
         "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
