@@ -9,7 +9,7 @@ the confidence, and sentences below the confidence that all but a small share of
 The sentences of a text are then labelled together (the likeliest sequence with a price on every change), so a stretch is a run of sentences.
 The model is a few MB, whatever the data; texts are labelled whole, in Arrow batches, without any shuffle.
 
-Defined results.  Null, blank and letterless texts have no language.  Repeated rows are labelled each for itself.  With no usable label in the
+Defined results.  Null, blank and letterless texts have no language (null, with confidence 0).  Repeated rows are labelled each for itself.  With no usable label in the
 data there is no model and no text gets a language.  Nulls in labels are absent labels.  Extra columns are not read.
 """
 
@@ -202,7 +202,7 @@ def fit(texts: DataFrame, bound: int = TRAINING_TEXTS) -> Model | None:
 
 
 def stretches(texts: DataFrame, model: Model | None) -> DataFrame:
-    """(seq, pos, label_lang, stretch, lang, confidence, n_sentences): one row per stretch of each text."""
+    """(seq, pos, label_lang, stretch, lang, confidence, n_sentences): one row per stretch of each text, and one with a null lang for a text without language."""
     schema = "seq bigint, pos int, label_lang string, stretch int, lang string, confidence double, n_sentences int"
     if model is None:
         return texts.sparkSession.createDataFrame([], schema)
@@ -217,7 +217,7 @@ def stretches(texts: DataFrame, model: Model | None) -> DataFrame:
                 if found is None:
                     found = known[value] = label(value, held.value)
                 named = language_of_label(lang)
-                rows += [(seq, pos, named, i, *x) for i, x in enumerate(found)]
+                rows += [(seq, pos, named, i, *x) for i, x in enumerate(found or [(None, 0.0, 0)])]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             names = ["seq", "pos", "label_lang", "stretch", "lang", "confidence", "n_sentences"]
@@ -229,6 +229,6 @@ def stretches(texts: DataFrame, model: Model | None) -> DataFrame:
 def doubtful_labels(stretch_rows: DataFrame) -> DataFrame:
     """(seq, pos, lang): one row per language of each text whose label is absent or wrong, or that holds two languages."""
     # the stretches of a text leave one batch, but a text is one group of a handful of rows, so this shuffle is small and even
-    x = stretch_rows.groupBy("seq", "pos").agg(F.collect_set("lang").alias("langs"), F.first("label_lang").alias("named"))
+    x = stretch_rows.where("lang is not null").groupBy("seq", "pos").agg(F.collect_set("lang").alias("langs"), F.first("label_lang").alias("named"))
     bad = (F.size("langs") > 1) | F.col("named").isNull() | (F.col("named") != F.col("langs")[0])
     return x.where(bad).select("seq", "pos", F.explode("langs").alias("lang"))

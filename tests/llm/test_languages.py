@@ -75,3 +75,10 @@ def test_held_out_accuracy(spark, sf):
         else:
             wrong += 1
     assert right > 50 and wrong <= 0.03 * (right + wrong)
+
+
+def test_texts_without_language(spark, model):
+    df = spark.createDataFrame([(1, 0, None, "en"), (1, 1, " ", None), (2, 0, "12 !", "ru"), (3, 0, ". ".join(SENTENCES["fr"]), "fr-CA"), (3, 0, ". ".join(SENTENCES["fr"]), "en"), (4, 2, ". ".join(SENTENCES["it"]), None)], "seq bigint, pos int, value string, lang string")
+    rows = lg.stretches(df, model)
+    assert sorted((r.seq, r.pos, r.lang or "") for r in rows.collect()) == [(1, 0, ""), (1, 1, ""), (2, 0, ""), (3, 0, "fr"), (3, 0, "fr"), (4, 2, "it")]
+    assert sorted(map(tuple, lg.doubtful_labels(rows.where("seq <> 3")).collect())) == [(4, 2, "it")]
