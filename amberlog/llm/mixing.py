@@ -9,7 +9,7 @@
    the threshold of a cell is calibrated on the tokens that lie below it (a histogram of BINS draws per cell), and what a threshold misses is
    carried to the next cell of the source, so that shares are met to within a bin, however few and uneven the documents.
 
-Only cell histograms reach the driver: (sources with a target) x languages x topics x BINS rows, a number that the data do not raise.
+Only cell histograms reach the driver: (sources with a target) x languages x topics x BINS rows, a number that is checked.
 
 Defined results.  Sources compare without case and outer white space; documents of null or untargeted sources are not used.  Null and empty
 texts have no tokens and are never drawn.  A target with null or negative weight counts as 0, with null or less than 1 repeat as 1; of a repeated target the
@@ -30,8 +30,8 @@ from amberlog.llm.languages import CODES
 from amberlog.llm.tokens import DEFAULT_VOCABULARY, token_counts
 from amberlog.plans.scratch import cut
 
-#: Draws per cell histogram, rounds of raking, most targets and topics.
-BINS, ROUNDS, MAX_TARGETS, MAX_TOPICS = 1_024, 50, 1_000, 64
+#: Draws per cell histogram, rounds of raking, most targets, and most cells (so the driver holds a million histogram rows at most).
+BINS, ROUNDS, MAX_TARGETS, MAX_CELLS = 1_024, 50, 1_000, 1_000
 
 
 def source_key(c: str) -> Column:
@@ -136,9 +136,8 @@ def mix(documents: DataFrame, targets: DataFrame, topic: Column, path: str = DEF
     weights, repeat = _targets(targets)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(BINS)).cast("int")
     pool = cut(sized(documents, topic, path).where(F.col("source").isin(list(weights))).withColumn("draw", draw))
-    n_topics = pool.select("topic").distinct().limit(MAX_TOPICS + 1).count()
-    if n_topics > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics")
+    if pool.select("source", "lang", "topic").distinct().count() > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic; coarser topics are needed")
     rows = pool.groupBy("source", "lang", "topic", "draw").agg(F.sum("n_tokens").alias("n")).collect()
     cells, amounts = plan(((r.source, r.lang, r.topic, r.draw, r.n) for r in rows), weights, repeat)
     known = spark.createDataFrame(cells, "c_source string, c_lang string, c_topic string, whole int, cut_at int")
