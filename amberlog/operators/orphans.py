@@ -1,8 +1,8 @@
 """References to records that do not exist: missing, deleted or defined later.
 
 References and parents are co-partitioned by key, sorted, and merged in one linear pass: Spark's sort-merge join, asked for by a hint.  A
-parent is one row per key with its validity: the first row that defines it, and whether it still exists in the end.  Keys that hold more than
-their share of the references are salted, and only their parents are repeated, so a key with a third of all references spreads over tasks.
+parent is one row per key with its validity: the first row that defines it, and whether it still exists in the end.  The keys with the most
+references are salted, and only their parents are repeated, so a key with a third of all references spreads over tasks.
 
 Defined results.  Null or blank links are no references.  Referring rows of deletions are left out, null entries and other tags too.  Null
 ids define nothing.  Repeated rows refer once each.  An empty log has no references.  Other columns of the log are ignored.
@@ -13,16 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amberlog.functions.entries import narrowed
 from amberlog.functions.names import is_delete, key_of
 from amberlog.operators.changes import order_of
+from amberlog.plans.scratch import cut
 
-#: Pieces of a hot key, and the share of all references from which a key is hot (so there are at most HOT_SHARE of them).
-SALTS, HOT_SHARE = 32, 256
+#: Pieces of a hot key, and how many keys count as hot: those with the most references.
+SALTS, HOT = 32, 256
 
 
 def references(log: DataFrame) -> DataFrame:
     """(seq, pos, tp, arrived, target): one row per link entry of rows that are not deletions."""
-    e = log.where(~is_delete("tp")).select("seq", "tp", "arrived", F.posexplode("props").alias("pos", "e"))
+    e = log.where(~is_delete("tp")).select("seq", "tp", "arrived", F.posexplode(narrowed("props", "tag", "link", "sourcelink")).alias("pos", "e"))
     target = F.when(F.col("e.tag") == 2, key_of("e.link")).when(F.col("e.tag") == 3, key_of("e.sourcelink"))
     return e.select("seq", "pos", "tp", "arrived", target.alias("target")).where("target <> ''")
 
@@ -35,9 +37,9 @@ def parents(log: DataFrame) -> DataFrame:
 
 def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     """The references of ``refs`` whose target is missing, deleted or late, with that status."""
-    total = refs.count()
-    hot = refs.groupBy("target").agg(F.count(F.lit(1)).alias("n_refs")).where(F.col("n_refs") * HOT_SHARE > total).select(F.col("target").alias("hot_key"))
-    hot = F.broadcast(hot)  # at most HOT_SHARE rows, by the condition above
+    # found in one pass that sums before it shuffles; at most HOT rows, whatever the data
+    counts = refs.groupBy("target").agg(F.count(F.lit(1)).alias("n_refs"))
+    hot = F.broadcast(cut(counts.orderBy(F.desc("n_refs"), "target").limit(HOT).select(F.col("target").alias("hot_key"))))
     salted = refs.join(hot, F.col("target") == F.col("hot_key"), "left").withColumn(
         "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("seq", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
     )

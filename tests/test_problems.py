@@ -162,8 +162,8 @@ def test_blocks_of_vectors(spark, tmp_path, monkeypatch):
 def test_orphans_of_hard_rows(spark, tmp_path, monkeypatch):
     df, rows = log_frame(spark, tmp_path, nasty_log())
     want = brute.orphans(as_dicts(rows))
-    for share in (2, 256):  # with hardly any and with many hot targets
-        monkeypatch.setattr(orphans, "HOT_SHARE", share)
+    for hot in (1, 256):  # with one and with only hot targets
+        monkeypatch.setattr(orphans, "HOT", hot)
         got = orphans.orphans(orphans.references(df), orphans.parents(df))
         assert sorted((r.seq, r.pos, r.status) for r in got.collect()) == want
     assert orphans.orphans(orphans.references(df.limit(0)), orphans.parents(df.limit(0))).collect() == []
