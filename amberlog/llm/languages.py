@@ -22,9 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amberlog.functions.entries import narrowed
 from amberlog.functions.names import is_delete, local_lower
 
 #: Most labelled texts that a model is trained on, and how many times as many labelled rows are looked at to find as many distinct ones.
@@ -36,7 +38,7 @@ LANGUAGES = ("en", "ru", "uk", "de", "fr", "es", "it")
 LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya"}
 LATIN_UK = {"г": "h", "ґ": "g", "є": "ye", "и": "y", "і": "i", "ї": "yi", "й": "y", "'": "", "’": ""}
 LATIN_OTHER = {"х": "h", "ц": "c", "щ": "sch", "ж": "j", "й": "j", "ю": "ju", "я": "ja", "ё": "jo", "є": "ie", "ї": "i"}
-BUCKETS, WIDTH, GRAMS, EPOCHS = 1 << 16, 16, (1, 2, 3, 4, 5), 4
+BUCKETS, WIDTH, GRAMS, EPOCHS = 1 << 16, 16, (1, 2, 3, 4, 5), 2
 #: Steps of descent at least, so that few texts are shown more often.
 STEPS = 40_000
 #: Nats that a change of language within a text costs, and the share of right held-out sentences that may be rejected.
@@ -44,10 +46,16 @@ CHANGE, REJECTED = 5.0, 0.002
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\s+-{1,3}\s+|\s*\n\s*\n\s*")
 
 
+FORMAT_CHARACTERS = regex.compile(r"\p{Cf}+")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Characters whose embeddings are summed at once.
+CHUNK = 200_000
+
+
 def clean(text: str) -> str:
     """Without format characters, composed, in lower case, letters only, single blanks between and around."""
-    kept = text if text.isascii() else unicodedata.normalize("NFC", "".join(c for c in text if unicodedata.category(c) != "Cf"))
-    return " " + " ".join(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", kept.lower())) + " "
+    kept = text if text.isascii() else unicodedata.normalize("NFC", FORMAT_CHARACTERS.sub("", text))
+    return " " + " ".join(_WORDS.findall(kept.lower())) + " "
 
 
 def sentences(text: str | None) -> list[str]:
@@ -55,16 +63,22 @@ def sentences(text: str | None) -> list[str]:
     return [c for s in _ENDS.split(text or "") if s and len(c := clean(s)) > 2]
 
 
+def _buckets(points: np.ndarray) -> Iterator[np.ndarray]:
+    """For each length in GRAMS the bucket of the run of characters that begins at each place (the last ones are shorter by a place each)."""
+    c = points.astype(np.uint64)
+    h = np.zeros(len(c), np.uint64)
+    for n in range(1, min(max(GRAMS), len(c)) + 1):
+        h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
+        yield ((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def features(cleaned: str) -> np.ndarray:
     """The buckets of all runs of characters of the lengths in GRAMS."""
-    c = np.frombuffer(cleaned.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    out, h = [], np.zeros(len(c), np.uint64)
-    for n in range(1, max(GRAMS) + 1):
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
-        out.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)) % np.uint64(BUCKETS))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(list(_buckets(_points(cleaned))))
 
 
 def latin(cleaned: str, lang: str, other: bool = False) -> str:
@@ -74,7 +88,7 @@ def latin(cleaned: str, lang: str, other: bool = False) -> str:
 
 @dataclass
 class Model:
-    """What labelling needs; a few MB."""
+    """What labelling needs; a few MB.  The last row of the table stays 0: it is for runs that would cross into the next sentence."""
 
     table: np.ndarray
     weights: np.ndarray
@@ -85,8 +99,27 @@ class Model:
     def logits(self, f: np.ndarray) -> np.ndarray:
         return self.table[f].mean(0) @ self.weights + self.bias
 
-    def probabilities(self, cleaned: str) -> np.ndarray:
-        return _softmax(self.logits(features(cleaned)) / self.temperature)
+    def probabilities(self, cleaned: list[str]) -> np.ndarray:
+        """A row of probabilities per cleaned sentence; sentences are embedded many at once."""
+        out, i = np.zeros((len(cleaned), len(LANGUAGES))), 0
+        while i < len(cleaned):
+            j, held = i, 0
+            while j < len(cleaned) and (j == i or held + len(cleaned[j]) <= CHUNK):
+                held += len(cleaned[j])
+                j += 1
+            sizes = np.array([len(s) for s in cleaned[i:j]])
+            ends = np.cumsum(sizes)
+            room = np.repeat(ends, sizes) - np.arange(held)
+            total = np.zeros((j - i, WIDTH))
+            for n, b in enumerate(_buckets(_points("".join(cleaned[i:j]))), 1):
+                b = np.append(np.where(room[: len(b)] >= n, b, BUCKETS), np.full(held - len(b), BUCKETS))
+                total += np.add.reduceat(self.table[b], ends - sizes, axis=0)
+            runs = sum(np.maximum(sizes - n + 1, 0) for n in GRAMS)
+            z = ((total / runs[:, None]) @ self.weights + self.bias) / self.temperature
+            e = np.exp(z - z.max(1, keepdims=True))
+            out[i:j] = e / e.sum(1, keepdims=True)
+            i = j
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -96,7 +129,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _descend(data: list[tuple[np.ndarray, int]], seed: int, epochs: int) -> Model:
     rng = np.random.default_rng(seed)
-    m = Model(rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((WIDTH, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32))
+    m = Model(rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + 1, WIDTH)).astype(np.float32), np.zeros((WIDTH, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32))
+    m.table[BUCKETS] = 0
     counts = np.bincount([y for _, y in data], minlength=len(LANGUAGES)).astype(float)
     scale = np.sqrt(len(data) / len(LANGUAGES) / np.maximum(counts, 1)).clip(0.7, 2.5)  # rare languages weigh more
     steps, step = epochs * len(data), 0
@@ -147,10 +181,20 @@ def train(texts: list[tuple[str, str]]) -> Model | None:
 
 def label(text: str | None, model: Model) -> list[tuple[str, float, int]]:
     """[(language, confidence, sentences)] of the stretches of a text."""
-    parts = sentences(text)
+    return label_all([text], model)[0]
+
+
+def label_all(texts: list[str | None], model: Model) -> list[list[tuple[str, float, int]]]:
+    """The stretches of each text."""
+    parts = [sentences(t) for t in texts]
+    p = model.probabilities([s for x in parts for s in x])
+    ends = np.cumsum([len(x) for x in parts])
+    return [_stretches(x, p[e - len(x) : e], model) for x, e in zip(parts, ends, strict=True)]
+
+
+def _stretches(parts: list[str], p: np.ndarray, model: Model) -> list[tuple[str, float, int]]:
     if not parts:
         return []
-    p = np.array([model.probabilities(s) for s in parts])
     sizes = np.array([len(s) for s in parts])
     sure = (p.max(1) >= model.threshold) & (sizes > 12)
     if not sure.any():
@@ -183,7 +227,7 @@ def language_of_label(label_text: str | None) -> str | None:
 
 def texts_of(log: DataFrame) -> DataFrame:
     """(seq, pos, value, lang): description and comment fields of rows that are no deletions."""
-    e = log.where(~is_delete("tp")).select("seq", F.posexplode("props").alias("pos", "e")).where("e.tag = 1")
+    e = log.where(~is_delete("tp")).select("seq", F.posexplode(narrowed("props", "tag", "prop", "value", "lang")).alias("pos", "e")).where("e.tag = 1")
     return e.where(local_lower("e.prop").isin("description", "comment")).select("seq", "pos", F.col("e.value").alias("value"), F.col("e.lang").alias("lang"))
 
 
@@ -210,14 +254,14 @@ def stretches(texts: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            known: dict[str, list] = {}
-            for seq, pos, value, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = known.get(value)
-                if found is None:
-                    found = known[value] = label(value, held.value)
-                named = language_of_label(lang)
-                rows += [(seq, pos, named, i, *x) for i, x in enumerate(found or [(None, 0.0, 0)])]
+            given = [c.to_pylist() for c in b.columns]
+            distinct = list(dict.fromkeys(given[2]))
+            known = dict(zip(distinct, label_all(distinct, held.value), strict=True))
+            rows = [
+                (seq, pos, language_of_label(lang), i, *x)
+                for seq, pos, value, lang in zip(*given, strict=True)
+                for i, x in enumerate(known[value] or [(None, 0.0, 0)])
+            ]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             names = ["seq", "pos", "label_lang", "stretch", "lang", "confidence", "n_sentences"]
