@@ -17,14 +17,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amberlog.functions.entries import narrowed
 from amberlog.functions.names import is_delete, key_of, local_lower
 
 #: Terms in fewer records than this are rare; terms in more than this share of the records are common.
 RARE_BELOW, COMMON_ABOVE = 3, 0.05
-_RUNS = re.compile(r"[^\W_]+")
+_RUNS = regex.compile(r"[\p{L}\p{Nd}]+")
+FORMAT_CHARACTERS = regex.compile(r"\p{Cf}+")
 _ASCII = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -34,19 +37,8 @@ def terms(value: str | None) -> list[str]:
         return []
     if value.isascii():
         return _ASCII.findall(value.lower())
-    kept = "".join(c for c in value if unicodedata.category(c) != "Cf")
-    text = unicodedata.normalize("NFC", kept).lower()
-    found = _RUNS.findall(text)
-    # \w also holds numbers that are no decimal digits (fractions, circled numbers) and marks of some scripts: those end a run
-    return [t for run in found for t in ([run] if run.isascii() or all(_in_run(c) for c in run) else _split(run))]
-
-
-def _in_run(c: str) -> bool:
-    return unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd")
-
-
-def _split(run: str) -> list[str]:
-    return "".join(c if _in_run(c) else " " for c in run).split()
+    text = unicodedata.normalize("NFC", FORMAT_CHARACTERS.sub("", value)).lower()
+    return _RUNS.findall(text)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +63,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def record_terms(log: DataFrame) -> DataFrame:
     """(field, term, rec, n): occurrences of each term in each record."""
-    values = F.transform(F.filter("props", lambda e: e["tag"] == 1), lambda e: e["value"])
+    values = F.transform(F.filter(narrowed("props", "tag", "value"), lambda e: e["tag"] == 1), lambda e: e["value"])
     rows = log.where(~is_delete("tp")).select(key_of("id").alias("rec"), local_lower("tp").alias("tp"), values.alias("values")).where("rec <> ''")
     counted = rows.mapInArrow(_count, "field string, term string, rec string, n bigint")
     return counted.groupBy("field", "term", "rec").agg(F.sum("n").alias("n"))
