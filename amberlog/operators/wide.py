@@ -58,12 +58,18 @@ def discover(declared: DataFrame) -> list[tuple[str, str, bool]]:
 
 def pivot(facts: DataFrame, attributes: list[tuple[str, str, bool]], entity: str = "subj", attribute: str = "pred", value: str = "obj") -> DataFrame:
     """One row per entity: for attribute number i the columns v{i} (its value), n{i} (values given), f{i} (of those, fitting), d{i} (whether two differ)."""
-    x = facts.where(F.col(entity).isNotNull()).select(F.col(entity).alias("subj"), local_lower(attribute).alias("a"), trimmed(value).alias("s"))
-    aggs = []
+    a, s = F.col("a"), F.col("s")
+    x = facts.where(F.col(entity).isNotNull()).select(F.col(entity).alias("subj"), local_lower(attribute).alias("a"), F.nullif(trimmed(value), F.lit("")).alias("s"))
+    # a row has one attribute, so its value is cast once, in the column of that attribute's type, before the aggregates pick it up
+    of_type: dict[str, list[str]] = {}
+    for name, kind, _ in attributes:
+        of_type.setdefault(kind, []).append(name)
+    columns = {kind: f"x{i}" for i, kind in enumerate(of_type)}
+    x = x.withColumns({columns[kind]: F.when(a.isin(names), typed(s, kind)) for kind, names in of_type.items()}) if of_type else x
+    aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, (name, kind, _) in enumerate(attributes):
-        given = F.when((F.col("a") == name) & (F.col("s") != ""), F.col("s"))
-        v = typed(given, kind)
-        aggs += [F.min(v).alias(f"v{i}"), F.count(given).alias(f"n{i}"), F.count(v).alias(f"f{i}"), (F.max(v) != F.min(v)).alias(f"d{i}")]
+        v = F.when(a == name, F.col(columns[kind]))
+        aggs += [F.min(v).alias(f"v{i}"), F.count(F.when(a == name, s)).alias(f"n{i}"), F.count(v).alias(f"f{i}"), (F.max(v) != F.min(v)).alias(f"d{i}")]
     return x.groupBy("subj").agg(*aggs)
 
 
