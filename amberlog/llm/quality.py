@@ -7,8 +7,9 @@ probability of a value is the share of the language's documents at or beyond it;
 document's statistics.  Candidates are documents that are outliers in a statistic of form (list, table or junk); an exact check of which
 form makes up most of the part follows.
 
-Statistics are rounded (shares to 1/1000, lengths to 1/20, counts to 1/50 of a doubling), which bounds the distinct values of a language
-and so the rank table: it is broadcast below a measured size and joined by a shuffle beyond.
+Statistics are true values: counts are whole, shares are quotients of whole numbers and never rounded, so documents tie only where they are
+equal.  The rank table may thus have as many rows as the documents have statistics; it is joined by a shuffle, row by row of document and
+statistic.  Values that a thousandth of all documents share (at most a thousand a statistic) are broadcast, so that none is a hot group.
 
 Defined results.  Null, empty and blank texts have statistics 0 and no kind; so does a text without own part.  Unknown and null labels of
 language form one group.  Repeated rows count each.  An empty table gives no rows.  Extra columns are not read.
@@ -16,13 +17,12 @@ language form one group.  Repeated rows count each.  An empty table gives no row
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amberlog.llm.languages import CODES
@@ -33,8 +33,10 @@ from amberlog.plans.scratch import cut
 STATISTICS = {
     "word_count": -1, "mean_word_length": 1, "symbol_ratio": 1, "digit_ratio": 1, "end_punctuation": -1, "common_words": -1, "repetition": 1, "list_share": 1, "table_share": 1, "junk_share": 1,
 }
-#: A form makes up most of a part from this share on; a rank table up to this many rows is broadcast.
-MOST, BROADCAST_ROWS = 0.5, 500_000
+#: A form makes up most of a part beyond this share; values that this share of all documents have are broadcast with their ranks.
+MOST, HOT = 0.5, 0.001
+#: Length from which a line weighs more than one, in code points; weights are whole numbers of its parts.
+FULL_LINE = 72
 #: Words over which repetition is measured.
 WINDOW = 100
 #: Frequent words of the languages.
@@ -101,7 +103,7 @@ def statistics(text: str | None) -> dict[str, float]:
     """The statistics of the writer's own part of a text."""
     own = own_part(text)
     lines = [x for x in own.split("\n") if x.strip()]
-    zero = dict.fromkeys(STATISTICS, 0.0)
+    zero = dict.fromkeys(STATISTICS, 0.0) | {"word_count": 0}
     if not lines:
         return zero
     words = _WORD.findall(own.lower())
@@ -109,7 +111,7 @@ def statistics(text: str | None) -> dict[str, float]:
     letters, digits = len(_NO_LETTERS.sub("", own)), len(_NO_DIGITS.sub("", own))
     # by stretches of WINDOW words, since the share of distinct words falls with the length of any text
     distinct = sum(len(set(words[i : i + WINDOW])) for i in range(0, n_words, WINDOW))
-    repetition = 1 - max(distinct, 1) / max(n_words, 1)
+    repetition = (max(n_words, 1) - max(distinct, 1)) / max(n_words, 1)
     hits = sum(w in COMMON for w in words)
     odd = len(_ODD.findall(own)) / max(n_words, 1)
     stripped = [x.strip() for x in lines]
@@ -120,11 +122,11 @@ def statistics(text: str | None) -> dict[str, float]:
             widths[r] = widths.get(r, 0) + 1
     common_width = max(widths, key=lambda w: (widths[w], w)) if widths else 0
     tabular = bool(widths) and widths[common_width] >= 2
-    weight = dict.fromkeys(("list", "table", "junk", "prose"), 0.0)
-    plain_short = 0.0
+    weight = dict.fromkeys(("list", "table", "junk", "prose"), 0)
+    plain_short = 0
     for x, s, r in zip(lines, stripped, rows, strict=True):
         n = len(s)
-        w = n / 72 if n > 72 else 1.0
+        w = max(n, FULL_LINE)
         if n <= 110 and _BULLET.match(x) and not (s[0] == "—" and n > 60):
             weight["list"] += w
         elif _blob_line(s) or _LOG.match(s) or s[-1] == "}" and "{" in s:
@@ -146,27 +148,27 @@ def statistics(text: str | None) -> dict[str, float]:
     senseless |= len(lines) >= 4 and same_lines > 0.5 * len(lines) or len(_BROKEN.findall(own)) > 0.05 * n_chars
     senseless |= not tabular and (not n_words or letters < 0.3 * n_chars)
     if senseless:
-        weight = dict.fromkeys(weight, 0.0) | {"junk": total}
+        weight = dict.fromkeys(weight, 0) | {"junk": total}
     elif len(lines) >= 4 and plain_short > 0.7 * total and not weight["table"]:
         weight["list"], weight["prose"] = weight["list"] + plain_short, weight["prose"] - plain_short
     return zero | {
-        "word_count": round(math.log2(1 + n_words) * 50) / 50,
-        "mean_word_length": round(sum(map(len, words)) / max(n_words, 1) * 20) / 20,
-        "symbol_ratio": round(max(0.0, 1 - (letters + digits) / n_chars), 3),
-        "digit_ratio": round(digits / n_chars, 3),
-        "end_punctuation": round(sum(x[-1] in ".!?…:;\"»)" for x in stripped) / len(lines), 3),
-        "common_words": round(hits / max(n_words, 1), 3),
-        "repetition": round(repetition, 3),
-        "list_share": round(weight["list"] / total, 3),
-        "table_share": round(weight["table"] / total, 3),
-        "junk_share": round(weight["junk"] / total, 3),
+        "word_count": n_words,
+        "mean_word_length": sum(map(len, words)) / max(n_words, 1),
+        "symbol_ratio": max(0, n_chars - letters - digits) / n_chars,
+        "digit_ratio": digits / n_chars,
+        "end_punctuation": sum(x[-1] in ".!?…:;\"»)" for x in stripped) / len(lines),
+        "common_words": hits / max(n_words, 1),
+        "repetition": repetition,
+        "list_share": weight["list"] / total,
+        "table_share": weight["table"] / total,
+        "junk_share": weight["junk"] / total,
     }
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [statistics(t) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([r[s] for r in rows], pa.float64()) for s in STATISTICS)], ["doc_id", "lang", *STATISTICS])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([r[s] for r in rows], pa.int64() if s == "word_count" else pa.float64()) for s in STATISTICS)], ["doc_id", "lang", *STATISTICS])
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
@@ -174,13 +176,17 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     code = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]+)", 1))
     names = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
     x = documents.select("doc_id", F.coalesce(F.try_element_at(names, code), F.lit("und")).alias("lang"), "text")
-    return x.mapInArrow(_run, "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return x.mapInArrow(_run, "doc_id bigint, lang string, " + ", ".join(f"{s} {'bigint' if s == 'word_count' else 'double'}" for s in STATISTICS))
+
+
+def _pairs() -> Column:
+    """The statistics of a document as rows of statistic and value."""
+    return F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in STATISTICS)))
 
 
 def ranks(stats: DataFrame) -> DataFrame:
-    """(lang, statistic, value, at_least, at_most, n): how many documents of the language are at or beyond each value that occurs."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS)))
-    counts = stats.select("lang", pairs.alias("x")).groupBy("lang", "x.statistic", "x.value").agg(F.count(F.lit(1)).alias("here"))
+    """(lang, statistic, value, here, at_least, at_most, n): how many documents of the language have, reach and do not exceed each value that occurs."""
+    counts = stats.select("lang", _pairs().alias("x")).groupBy("lang", "x.statistic", "x.value").agg(F.count(F.lit(1)).alias("here"))
     # written once with the number of its partition, since the bounds of a range partitioning are sampled anew each time
     ranged = cut(counts.repartitionByRange("lang", "statistic", "value").sortWithinPartitions("lang", "statistic", "value").withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("lang", "statistic", "part").agg(F.sum("here").alias("in_part"))
@@ -188,7 +194,23 @@ def ranks(stats: DataFrame) -> DataFrame:
     offsets = totals.select("lang", "statistic", "part", F.sum("in_part").over(group).alias("n"), (F.sum("in_part").over(group.orderBy("part")) - F.col("in_part")).alias("before"))
     inside = F.sum("here").over(Window.partitionBy("lang", "statistic", "part").orderBy("value"))
     x = ranged.withColumn("inside", inside).join(offsets, ["lang", "statistic", "part"])
-    return x.select("lang", "statistic", "value", (F.col("n") - F.col("before") - F.col("inside") + F.col("here")).alias("at_least"), (F.col("before") + F.col("inside")).alias("at_most"), "n")
+    return x.select("lang", "statistic", "value", "here", (F.col("n") - F.col("before") - F.col("inside") + F.col("here")).alias("at_least"), (F.col("before") + F.col("inside")).alias("at_most"), "n")
+
+
+def scores(stats: DataFrame) -> DataFrame:
+    """row and one column ``<statistic>_score`` per statistic for numbered statistics."""
+    table = cut(ranks(stats))
+    upper = F.create_map(*(F.lit(x) for kv in STATISTICS.items() for x in kv))
+    tail = F.when(upper[F.col("statistic")] == 1, F.col("at_least")).otherwise(F.col("at_most")) / F.col("n")
+    key = ["lang", "statistic", "value"]
+    scored = table.select(*key, "here", (-F.log(tail)).alias("score"))
+    least = HOT * stats.count()
+    hot, others = (scored.where(c).drop("here") for c in (F.col("here") > least, F.col("here") <= least))
+    long = stats.select("row", "lang", _pairs().alias("x")).select("row", "lang", "x.statistic", "x.value")
+    known = long.join(F.broadcast(hot), key).unionByName(long.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
+    # brought together as narrow rows first: a partial aggregation would make each a wide one
+    together = known.select("row", "statistic", "score").repartition("row").groupBy("row")
+    return together.agg(*(F.max(F.when(F.col("statistic") == s, F.col("score"))).alias(f"{s}_score") for s in STATISTICS))
 
 
 def outliers(documents: DataFrame) -> DataFrame:
@@ -196,17 +218,9 @@ def outliers(documents: DataFrame) -> DataFrame:
 
     kind is list, table or junk where an outlier in that statistic of form makes up most of the part, else prose; null without own part.
     """
-    stats = cut(text_statistics(documents))
-    table = cut(ranks(stats))
-    # one row per language with the tails of each statistic as a map: a bounded number of values each, by the rounding
-    upper = F.create_map(*(F.lit(x) for kv in STATISTICS.items() for x in kv))
-    tail = F.when(upper[F.col("statistic")] == 1, F.col("at_least")).otherwise(F.col("at_most")) / F.col("n")
-    scored = table.select("lang", "statistic", "value", (-F.log(tail)).alias("score"))
-    small = table.count() <= BROADCAST_ROWS
-    out = stats
-    for s in STATISTICS:
-        one = scored.where(F.col("statistic") == s).select(F.col("lang").alias("r_lang"), F.col("value").alias("r_value"), F.col("score").alias(f"{s}_score"))
-        out = out.join(F.broadcast(one) if small else one, (F.col("lang") == F.col("r_lang")) & (F.col(s) == F.col("r_value")), "left").drop("r_lang", "r_value")
+    # numbered before they are written, since a document may occur more than once
+    stats = cut(text_statistics(documents).withColumn("row", F.monotonically_increasing_id()))
+    out = stats.join(scores(stats), "row", "left").drop("row")
     forms = ("table", "junk", "list")
     kind = F.when(F.greatest(*(F.col(f"{f}_share") for f in forms)) <= 0, F.when(F.col("word_count") > 0, "prose"))
     for f in forms:

@@ -78,3 +78,17 @@ def test_edge_rows(spark):
     got = quality.outliers(df).collect()
     assert sorted((r.doc_id, r.lang, r.kind) for r in got) == [(1, "und", None), (2, "en", None), (2, "en", None), (3, "und", "prose")]
     assert quality.outliers(df.limit(0)).collect() == []
+
+
+def test_statistics_are_true_values(spark):
+    texts = [HEAD + "\n" + " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(n)) + "." for n in (990, 997, 1000)]
+    assert [quality.statistics(t)["word_count"] for t in texts] == [990, 997, 1000]
+    # 1251 of 2500 lines are items: more than half, but 0.500 in thousandths
+    name = ["".join("bdfgklmnrt"[int(c)] + "aeiouaeiou"[int(c)] for c in f"{i:04}") for i in range(2500)]
+    long = HEAD + "\n" + "\n".join([f"- box of {x}" for x in name[:1251]] + [f"The keeper of {x} went to the river and was not seen again." for x in name[1251:]])
+    s = quality.statistics(long)
+    assert s["list_share"] == 1251 / 2500 and form(long) == "list"
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in quality.outliers(docs).collect()}
+    assert [out[i].word_count for i in range(4)] == [990, 997, 1000, 990] and isinstance(out[0].word_count, int)
+    assert [round(4 * math.exp(-out[i].word_count_score)) for i in range(4)] == [2, 3, 4, 2]
