@@ -13,8 +13,9 @@ is no group in one task: children only meet their parent in a join (split by ada
 
 Defined results.  Null or empty names are no nodes.  A repeated name counts once, by the row with the greatest ``order`` (ties: smallest
 parent name; a null order is the least).  A parent that is null, empty or defined nowhere makes its child a top node.  Nodes on a loop or
-below one have no path, depth or descendants (null), ``steps`` -1 and the smallest name of the loop as root.  Empty input gives no rows;
-other columns of the input are ignored, whatever their names.
+below one have no path, depth or descendants (null), ``steps`` -1 and the smallest name of the loop as root.  ``without_loops`` takes the
+loops alone out: what hangs below one is then a tree like any other, with paths and descendants.  Empty input gives no rows; other columns of
+the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,6 +141,14 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     )
 
 
+def without_loops(links: DataFrame) -> DataFrame:
+    """The links (k, p) without the nodes on loops; a node that hangs right under a loop becomes a top node."""
+    stays, _ = peel(links)
+    on_loop = cut(stays.where("p is not null").select(F.explode(F.concat(F.array("k"), "via")).alias("l")))
+    kept = links.join(on_loop, F.col("k") == F.col("l"), "left_anti")
+    return kept.join(on_loop, F.col("p") == F.col("l"), "left").select("k", F.when(F.col("l").isNull(), F.col("p")).alias("p"))
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance): every descendant of every node as rows, from the paths, without a join or a list per ancestor."""
     return (

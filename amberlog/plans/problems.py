@@ -34,6 +34,17 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.closure(hierarchy.hierarchy(_links(spark, sf)))
 
 
+def p1_all_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Path, depth and descendants of every class that is on no loop; below a loop they begin with the class right under it."""
+    h = hierarchy.hierarchy(hierarchy.without_loops(_links(spark, sf)))
+    return h.select(F.col("name").alias("about"), F.col("root").alias("top"), "depth", F.array_join("path", "/").alias("path"), F.col("descendants").alias("n_descendants"))
+
+
+def p1_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of p1_descendants and those among the classes below loops."""
+    return hierarchy.closure(hierarchy.hierarchy(hierarchy.without_loops(_links(spark, sf))))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return changes.current_state(_table(spark, sf, "rrecord_log")).select(F.col("__key").alias("id"), "seq")
 
@@ -75,7 +86,7 @@ def p5_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide)}
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_hierarchy, p1_all_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide)}
 
 
 # the same by SQL, for queries that SQL can express on whole tables
@@ -123,6 +134,14 @@ select s.k as about, u.p as parent, coalesce(t.root, l.root) as root, cast(case
 case when t.root is not null then b.n end as n_descendants, t.root is null as in_loop
 from steps s join up u on u.k = s.k left join tops t on t.k = s.k left join loops l on l.k = s.k join paths p on p.k = s.k join below b on b.c = s.k"""
 )
+_FREE = _CLASSES + ", on_loop as (select u.k from up u join reach r on r.k = u.p and r.c = u.k), free as (select s.k, s.n from steps s left join on_loop o on o.k = s.k where o.k is null)"
+_P1_ALL_DESCENDANTS = _FREE + " select r.c as ancestor, r.k as descendant, a.n - b.n as distance from reach r join free a on a.k = r.k join free b on b.k = r.c where r.c <> r.k"
+_P1_ALL_HIERARCHY = (
+    _FREE
+    + """, paths as (select r.k, count(*) - 1 as depth, arg_min(r.c, f.n) as top, string_agg(r.c, '/' order by f.n) as path from reach r join free f on f.k = r.c group by r.k),
+below as (select c, count(*) - 1 as n from reach group by c)
+select f.k as about, p.top, cast(p.depth as integer) as depth, p.path, b.n as n_descendants from free f join paths p on p.k = f.k join below b on b.c = f.k"""
+)
 _MT = f"""coalesce(epoch_us(try_cast(case when {_trim("mt")} similar to '[0-9]{{4}}-.*(Z|[+-][0-9]{{2}}:[0-9]{{2}})' then {_trim("mt")} when {_trim("mt")} similar to '[0-9]{{4}}-.*' then concat({_trim("mt")}, 'Z') end as timestamptz)), epoch_us(try_strptime({_trim("mt")}, '%m/%d/%Y %I:%M:%S %p')), -4611686018427387904)"""
 STATE = f"""with log as (select seq, arrived, {_key("id")} as k, lower({local_sql("tp")}) as tp, {_MT} as changed_us, props from rrecord_log),
 winner as (select k, seq, tp from (select *, row_number() over (partition by k order by changed_us desc, seq) as rn from log where k <> '') t where rn = 1),
@@ -166,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_hierarchy": _P1_HIERARCHY,
         "p5_wide": _wide_sql(),
         "p1_descendants": _P1_DESCENDANTS,
+        "p1_all_hierarchy": _P1_ALL_HIERARCHY,
+        "p1_all_descendants": _P1_ALL_DESCENDANTS,
         "p2_found": STATE + " select k as id, seq from winner where tp <> 'delete'",
         "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
         "p4_report": _ORPHANS + " select tp, strftime(arrived, '%Y-%m') as month, status, count(*) as n_refs, count(distinct target) as n_targets from found where status is not null group by 1, 2, 3",

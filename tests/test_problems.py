@@ -94,6 +94,25 @@ def test_hierarchy_of_nothing_and_of_one_loop(spark):
     assert {(r.root, r.steps) for r in tree_of(spark, class_rows(ring), False).collect()} == {("n00", -1)}
 
 
+def test_descendants_below_loops(spark):
+    loops = [("l1", "l2"), ("l2", "l3"), ("l3", "l1"), ("below", "l2"), ("lower", "below"), ("least", "lower"), ("side", "below"), ("self", "self"), ("kid", "self"), ("kid2", "kid"), ("top", None), ("under", "top")]
+    loops += [(f"c{i:02}", f"c{i - 1:02}" if i else "l3") for i in range(30)]
+    parent = dict(loops)
+    on_loop = {"l1", "l2", "l3", "self"}
+    want = set()
+    for name in set(parent) - on_loop:
+        up, steps = parent[name], 1
+        while up and up not in on_loop:
+            want.add((up, name, steps))
+            up, steps = parent[up], steps + 1
+    links = spark.createDataFrame(loops, "k string, p string")
+    tree = hierarchy.hierarchy(hierarchy.without_loops(links))
+    assert {(r.ancestor, r.descendant, r.distance) for r in hierarchy.closure(tree).collect()} == want
+    got = {r.name: (r.path[0], r.depth, r.descendants) for r in tree.collect()}
+    assert got.keys() == set(parent) - on_loop
+    assert got["below"] == ("below", 0, 3) and got["least"] == ("below", 2, 0) and got["kid"] == ("kid", 0, 1) and got["c00"] == ("c00", 0, 29) and got["top"] == ("top", 0, 1)
+
+
 # changes and orphans
 
 
