@@ -4,8 +4,10 @@ Per document (one pass in Arrow batches, whole texts): statistics of the writer'
 statistic among the documents of its language: the distinct values are counted (combined before the shuffle, so a value that a third of all
 rows share is one row), range-partitioned and sorted, and each partition adds the totals of the partitions before it.  The empirical tail
 probability of a value is the share of the language's documents at or beyond it; an outlier score is the sum of -log of the tails of a
-document's statistics.  Candidates are documents that are outliers in a statistic of form (list, table or junk); an exact check of which
-form makes up most of the part follows.
+document's statistics.  The same ranks are taken among the prose of the language alone (parts of which no form makes up most), with one added to
+both counts of a tail: a document is a candidate if its scores against prose add up to at least that of one value which no prose reaches.
+A share beyond MOST is such a value by itself, so no document that is mostly list, table or junk can be lost, however its language is made up;
+an exact check of which form makes up most of the part follows.
 
 Statistics are true values: counts are whole, shares are quotients of whole numbers and never rounded, so documents tie only where they are
 equal.  The rank table may thus have as many rows as the documents have statistics; it is joined by a shuffle, row by row of document and
@@ -35,6 +37,8 @@ STATISTICS = {
 }
 #: A form makes up most of a part beyond this share; values that this share of all documents have are broadcast with their ranks.
 MOST, HOT = 0.5, 0.001
+#: The forms other than prose; of equal shares the first counts.
+FORMS = ("table", "junk", "list")
 #: Length from which a line weighs more than one, in code points; weights are whole numbers of its parts.
 FULL_LINE = 72
 #: Words over which repetition is measured.
@@ -185,45 +189,64 @@ def _pairs() -> Column:
 
 
 def ranks(stats: DataFrame) -> DataFrame:
-    """(lang, statistic, value, here, at_least, at_most, n): how many documents of the language have, reach and do not exceed each value that occurs."""
-    counts = stats.select("lang", _pairs().alias("x")).groupBy("lang", "x.statistic", "x.value").agg(F.count(F.lit(1)).alias("here"))
+    """(lang, statistic, value, here, at_least, at_most, n): how many documents of the language have, reach and do not exceed each value that occurs.
+
+    prose_at_least, prose_at_most and prose_n count prose alone.
+    """
+    prose = (F.greatest(*(F.col(f"{f}_share") for f in FORMS)) <= MOST) & (F.col("word_count") > 0)
+    counts = stats.select("lang", prose.cast("bigint").alias("prose"), _pairs().alias("x")).groupBy("lang", "x.statistic", "x.value")
+    counts = counts.agg(F.count(F.lit(1)).alias("here"), F.sum("prose").alias("prose"))
     # written once with the number of its partition, since the bounds of a range partitioning are sampled anew each time
     ranged = cut(counts.repartitionByRange("lang", "statistic", "value").sortWithinPartitions("lang", "statistic", "value").withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("lang", "statistic", "part").agg(F.sum("here").alias("in_part"))
     group = Window.partitionBy("lang", "statistic")
-    offsets = totals.select("lang", "statistic", "part", F.sum("in_part").over(group).alias("n"), (F.sum("in_part").over(group.orderBy("part")) - F.col("in_part")).alias("before"))
-    inside = F.sum("here").over(Window.partitionBy("lang", "statistic", "part").orderBy("value"))
-    x = ranged.withColumn("inside", inside).join(offsets, ["lang", "statistic", "part"])
-    return x.select("lang", "statistic", "value", "here", (F.col("n") - F.col("before") - F.col("inside") + F.col("here")).alias("at_least"), (F.col("before") + F.col("inside")).alias("at_most"), "n")
+    inside = Window.partitionBy("lang", "statistic", "part").orderBy("value")
+    counted = ("here", "prose")
+    totals = ranged.groupBy("lang", "statistic", "part").agg(*(F.sum(c).alias(f"{c}_part") for c in counted))
+    offsets = totals.select(
+        "lang", "statistic", "part", *(F.sum(f"{c}_part").over(group).alias(f"{c}_n") for c in counted), *((F.sum(f"{c}_part").over(group.orderBy("part")) - F.col(f"{c}_part")).alias(f"{c}_before") for c in counted)
+    )
+    x = ranged.withColumns({f"{c}_inside": F.sum(c).over(inside) for c in counted}).join(offsets, ["lang", "statistic", "part"])
+
+    def sides(c: str, name: str) -> list[Column]:
+        most = F.col(f"{c}_before") + F.col(f"{c}_inside")
+        return [(F.col(f"{c}_n") - most + F.col(c)).alias(f"{name}at_least"), most.alias(f"{name}at_most"), F.col(f"{c}_n").alias(f"{name}n")]
+
+    return x.select("lang", "statistic", "value", "here", *sides("here", ""), *sides("prose", "prose_"))
 
 
 def scores(stats: DataFrame) -> DataFrame:
-    """row and one column ``<statistic>_score`` per statistic for numbered statistics."""
+    """row, one column ``<statistic>_score`` per statistic, prose_score (the sum of the scores against prose) and candidate for numbered statistics."""
     table = cut(ranks(stats))
     upper = F.create_map(*(F.lit(x) for kv in STATISTICS.items() for x in kv))
-    tail = F.when(upper[F.col("statistic")] == 1, F.col("at_least")).otherwise(F.col("at_most")) / F.col("n")
+    above = upper[F.col("statistic")] == 1
+    tail = F.when(above, F.col("at_least")).otherwise(F.col("at_most")) / F.col("n")
+    beyond = F.when(above, F.col("prose_at_least")).otherwise(F.col("prose_at_most"))
+    unreached = F.log(1.0 + F.col("prose_n"))
+    # a value that no prose reaches has exactly the score that a candidate needs
+    against_prose = F.when(beyond == 0, unreached).otherwise(unreached - F.log(1.0 + beyond))
     key = ["lang", "statistic", "value"]
-    scored = table.select(*key, "here", (-F.log(tail)).alias("score"))
+    scored = table.select(*key, "here", (-F.log(tail)).alias("score"), against_prose.alias("against_prose"), unreached.alias("unreached"))
     least = HOT * stats.count()
     hot, others = (scored.where(c).drop("here") for c in (F.col("here") > least, F.col("here") <= least))
     long = stats.select("row", "lang", _pairs().alias("x")).select("row", "lang", "x.statistic", "x.value")
     known = long.join(F.broadcast(hot), key).unionByName(long.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
     # brought together as narrow rows first: a partial aggregation would make each a wide one
-    together = known.select("row", "statistic", "score").repartition("row").groupBy("row")
-    return together.agg(*(F.max(F.when(F.col("statistic") == s, F.col("score"))).alias(f"{s}_score") for s in STATISTICS))
+    together = known.select("row", "statistic", "score", "against_prose", "unreached").repartition("row").groupBy("row")
+    candidate = F.sum("against_prose") >= F.max("unreached")
+    return together.agg(*(F.max(F.when(F.col("statistic") == s, F.col("score"))).alias(f"{s}_score") for s in STATISTICS), F.sum("against_prose").alias("prose_score"), candidate.alias("candidate"))
 
 
 def outliers(documents: DataFrame) -> DataFrame:
     """The statistics of every document with a score per statistic (``<statistic>_score``, -log of its tail), their sum ``outlier_score``, and kind.
 
-    kind is list, table or junk where an outlier in that statistic of form makes up most of the part, else prose; null without own part.
+    kind is list, table or junk where that form makes up most of the part of a candidate, else prose; null without own part.
     """
     # numbered before they are written, since a document may occur more than once
     stats = cut(text_statistics(documents).withColumn("row", F.monotonically_increasing_id()))
     out = stats.join(scores(stats), "row", "left").drop("row")
-    forms = ("table", "junk", "list")
-    kind = F.when(F.greatest(*(F.col(f"{f}_share") for f in forms)) <= 0, F.when(F.col("word_count") > 0, "prose"))
-    for f in forms:
-        most = (F.col(f"{f}_share") > MOST) & (F.col(f"{f}_share") >= F.greatest(*(F.col(f"{g}_share") for g in forms)))
-        kind = kind.when((F.col(f"{f}_share_score") > 0) & most, f)
+    greatest = F.greatest(*(F.col(f"{f}_share") for f in FORMS))
+    kind = F.when(greatest <= 0, F.when(F.col("word_count") > 0, "prose"))
+    for f in FORMS:
+        most = (F.col(f"{f}_share") > MOST) & (F.col(f"{f}_share") >= greatest)
+        kind = kind.when(F.col("candidate") & most, f)
     return out.withColumn("outlier_score", sum((F.col(f"{s}_score") for s in STATISTICS), F.lit(0.0))).withColumn("kind", kind.otherwise("prose"))

@@ -92,3 +92,13 @@ def test_statistics_are_true_values(spark):
     out = {r.doc_id: r for r in quality.outliers(docs).collect()}
     assert [out[i].word_count for i in range(4)] == [990, 997, 1000, 990] and isinstance(out[0].word_count, int)
     assert [round(4 * math.exp(-out[i].word_count_score)) for i in range(4)] == [2, 3, 4, 2]
+
+
+def test_kind_does_not_depend_on_peers(spark):
+    junk = HEAD + "\n" + "=-=-=-=-=-=-=-=-=\n" * 5
+    items = HEAD + "\n" + "\n".join("- " + x for x in ("the keys", "two cups of tea", "Anna", "an album, 1912", "ribbons", "a map"))
+    rows = [(1, items, "fr"), (2, junk, "de"), (3, junk, "de"), (4, HEAD + "\n" + BODY, "en"), (5, items, "en"), (6, junk, "en"), (7, BODY, "es"), (8, None, "it")]
+    got = quality.outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {r.doc_id: r.kind for r in got} == {1: "list", 2: "junk", 3: "junk", 4: "prose", 5: "list", 6: "junk", 7: "prose", 8: None}
+    scores = {r.doc_id: r.prose_score for r in got}
+    assert scores[4] == 0 and scores[5] >= math.log(2) and scores[6] >= math.log(2)
