@@ -30,6 +30,7 @@ _SAYS = re.compile(r"\d.*:[ \t]*$")
 _POSTMARK = re.compile(r"\AFrom \S+@\S+ [^\n]*\n")
 _SIGNATURE = re.compile(r"^-- ?\n", re.M)
 _RULE = re.compile(r"^[ \t]*(?:_{5,}|-{5,}|={5,}|\*{3,}|~{5,})[ \t]*\n(?=[ \t]*[^\W\d_][^\n|;\t]{20,})", re.M)
+_BLANK = re.compile(r"\n[ \t]*\n")
 #: How closing lines and disclaimers begin, and greetings.
 CLOSINGS = (
     "regards", "best wishes", "best regards", "kind regards", "thanks", "thank you", "cheers", "sincerely", "yours", "с уважением", "спасибо", "всего доброго", "з повагою", "дякую", "щиро",
@@ -139,12 +140,36 @@ def _is_greeting(paragraph: str) -> bool:
     return words.startswith(GREETINGS) or words.rstrip("!., ").endswith(GREETINGS)
 
 
+def _without_end(s: str) -> str:
+    """Without the disclaimers, the signature and the closing it ends with; unchanged if nothing else is there."""
+    kept = s.rstrip()
+    while kept:
+        at = max((x.end() for x in _BLANK.finditer(kept)), default=0)
+        first, _, rest = kept[at:].lstrip("\n").partition("\n")
+        below = (rest if _RULE.match(f"{first}\n{rest}") else first).strip().lower()
+        closing = len(first) < 40 and first.strip().lower().startswith(CLOSINGS)
+        if not (below.startswith(DISCLAIMERS) or closing or first.rstrip() == "--"):
+            break
+        kept = kept[:at].rstrip()
+    return kept if kept.strip() else s
+
+
+def _writing(paragraph: str) -> str:
+    """Which letters a paragraph of sentences is written in, empty for dumps, links and tables."""
+    letters = [c for c in paragraph if c.isalpha()]
+    if "\t" in paragraph or "://" in paragraph or len(letters) < 0.7 * len("".join(paragraph.split())):
+        return ""
+    return "cyrillic" if sum("\u0400" <= c <= "\u052f" for c in letters) > 0.5 * len(letters) else "other"
+
+
 def _after_original(s: str, m: re.Match) -> str:
     """The part around a forwarded original: what is above it; if nothing is, what follows it from its second greeting or last wide gap on."""
     if s[: m.start()].strip():
         return s[: m.start()]
     rest = s[m.end() :]
     _, _, rest = rest.partition("\n\n")
+    # the writer's own closing and signature are no bounds of the original
+    rest = _without_end(rest)
     starts = [x.start() for x in re.finditer(r"(?:\A|(?<=\n\n))[^\n]{2,60}(?=\n[ \t]*\n)", rest) if _is_greeting(x[0])]
     starts = [x for x in starts if rest[:x].strip()]
     gap = rest.rfind("\n\n\n")
@@ -152,10 +177,21 @@ def _after_original(s: str, m: re.Match) -> str:
         return rest[starts[-1] :]
     if gap >= 0 and rest[gap:].strip():
         return rest[gap:]
-    # otherwise what comes after the original's closing or signature, or else its last paragraph
-    paragraphs = [p for p in re.split(r"\n[ \t]*\n", rest) if p.strip()]
+    # otherwise what comes after the original's closing or signature
+    paragraphs = [p for p in _BLANK.split(rest) if p.strip()]
     ends = [i for i, p in enumerate(paragraphs[:-1]) if p.strip().lower().startswith(CLOSINGS) or p.lstrip("\n").startswith("-- \n")]
-    return "\n\n".join(paragraphs[ends[0] + 1 :] if ends else paragraphs[-1:])
+    if ends:
+        return "\n\n".join(paragraphs[ends[0] + 1 :])
+    # or after its last paragraph in another script, or the dump or table that it is; or else all but its first paragraph, since no more is known to be its own
+    written = [(i, w) for i, p in enumerate(paragraphs) if (w := _writing(p))]
+    turns = [i for (_, v), (i, w) in zip(written, written[1:], strict=False) if v != w]
+    if turns:
+        start = turns[-1]
+    elif written and written[0][0]:
+        start = written[0][0]
+    else:
+        start = min(1 + _is_greeting(paragraphs[0]), len(paragraphs) - 1) if paragraphs else 0
+    return "\n\n".join(paragraphs[start:])
 
 
 def own_part(text: str | None) -> str:

@@ -102,3 +102,14 @@ def test_kind_does_not_depend_on_peers(spark):
     assert {r.doc_id: r.kind for r in got} == {1: "list", 2: "junk", 3: "junk", 4: "prose", 5: "list", 6: "junk", 7: "prose", 8: None}
     scores = {r.doc_id: r.prose_score for r in got}
     assert scores[4] == 0 and scores[5] >= math.log(2) and scores[6] >= math.log(2)
+
+
+
+def test_own_part_below_an_original():
+    first, second, third = BODY.replace("\n", " "), "Nobody has seen the second album since the spring.", "The river was high and the bridge was closed for a week."
+    fore = HEAD + "\n-----Original Message-----\nFrom: C <c@d.example>\nSubject: y\n\n"
+    for end in ("", "\n\nRegards,\nA B", "\n\n-- \nA B\n1 2 3", "\n\nThanks,\nA B\n\n***\nThis message is meant only for the person it is addressed to.\n"):
+        assert mail.own_part(fore + "\n\n".join((first, second, third)) + end) == f"{second}\n\n{third}"
+        assert mail.own_part(fore + f"{first}\n\nRegards,\nC\n\n{second}\n\n{third}" + end) == f"{second}\n\n{third}"
+        assert mail.own_part(fore + "00000000  9b 66 f2 21 78 34 c2 9b\n\n" + f"{second}\n\n{third}" + end) == f"{second}\n\n{third}"
+        assert mail.own_part(fore + f"Ключи от подвала и письма соседям.\n\n{second}\n\n{third}" + end) == f"{second}\n\n{third}"
