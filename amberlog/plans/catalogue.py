@@ -155,6 +155,13 @@ def merge_two_runs(spark, sf):
     return lookup.ranked(a.unionByName(b), ["k", "src"]).select("k", "pos")
 
 
+@query("select k, row_number() over (order by k, src) as pos from (select c_custkey as k, 1 as src from customer union all select s_suppkey as k, 2 as src from supplier) t")
+def merge_all_runs(spark, sf):
+    a = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("src"))
+    b = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(2).alias("src"))
+    return lookup.ranked(a.unionByName(b), ["k", "src"]).select("k", "pos")
+
+
 @query(
     "with k as (select cast(o_custkey as bigint) as key from orders), m as (select min(key) as mn, max(key) as mx, cast(floor(count(*) / 16) as bigint) as n from k), b as (select cast(floor((k.key - m.mn) * (m.n - 1) / (m.mx - m.mn)) as bigint) as pos, count(*) as c from k cross join m group by 1) select pos, c, sum(c) over (order by pos) - c as start from b"
 )
@@ -246,6 +253,15 @@ def two_hop(spark, sf):
     return middle.join(p, line["l_partkey"] == p["p_partkey"]).select("c_custkey", "o_orderkey", "p_name")
 
 
+@query(
+    "select c.c_custkey, o.o_orderkey, p.p_name from customer c join orders o on o.o_custkey = c.c_custkey join lineitem l on l.l_orderkey = o.o_orderkey join part p on p.p_partkey = l.l_partkey"
+)
+def two_hop_all(spark, sf):
+    c, o, line, p = (_t(spark, sf, n) for n in ("customer", "orders", "lineitem", "part"))
+    middle = graph.two_hops(c, o, line, c["c_custkey"] == o["o_custkey"], o["o_orderkey"] == line["l_orderkey"])
+    return middle.join(p, line["l_partkey"] == p["p_partkey"]).select("c_custkey", "o_orderkey", "p_name")
+
+
 # linked records, ingest, classes, partitions
 
 
@@ -266,6 +282,18 @@ def name_search_indirect(spark, sf):
     return graph.resolve_aliases(lookup.by_prefix(rec, "name", "alias small"), "id", "tp", "naming", "ref", rec)
 
 
+@query(
+    "with rec as (select concat('p', cast(p_partkey as varchar(20))) as id, 'part' as tp, p_name as name, cast(null as varchar(20)) as ref from part union all select concat('a', cast(p_partkey as varchar(20))), 'naming', concat('alias ', p_name), concat('p', cast(p_partkey as varchar(20))) from part) select distinct coalesce(r2.id, r.id) as id from rec r left join rec r2 on r.tp = 'naming' and r.ref = r2.id where starts_with(upper(r.name), 'ALIAS SMALL')"
+)
+def name_search_indirect_all(spark, sf):
+    p = _t(spark, sf, "part")
+    pid = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    plain = p.select(pid.alias("id"), F.lit("part").alias("tp"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("ref"))
+    alias = p.select(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("id"), F.lit("naming").alias("tp"), F.concat(F.lit("alias "), F.col("p_name")).alias("name"), pid.alias("ref"))
+    rec = plain.unionByName(alias)
+    return graph.resolve_aliases(lookup.by_prefix(rec, "name", "alias small"), "id", "tp", "naming", "ref", rec)
+
+
 @query(
     "select user_id, event_id from (select *, row_number() over (partition by user_id order by coalesce(case when event_id % 3 = 0 then null else ts end, timestamp '0001-01-01 00:00:00') desc, event_id) as rn from events) t where rn = 1"
 )
@@ -286,6 +314,12 @@ def delete_wins(spark, sf):
     return ingest.without_deleted(e, "user_id", e.where("event_type = 'error' and event_id % 500 = 7"), "user_id").select("event_id", "user_id")
 
 
+@query("select e.event_id, e.user_id from events e left join (select distinct user_id from events where event_type = 'error') d on e.user_id = d.user_id where d.user_id is null")
+def delete_wins_all(spark, sf):
+    e = _t(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return ingest.without_deleted(e, "user_id", e.where("event_type = 'error'"), "user_id").select("event_id", "user_id")
+
+
 @query(
     "with l as (select distinct l_orderkey, l_partkey from lineitem) select l_orderkey, case when l_partkey % 7 = 0 then l_partkey + 1 else l_partkey end as link from l"
 )
@@ -295,6 +329,15 @@ def redirect_links(spark, sf):
     return ingest.redirect(x, "link", ends)
 
 
+@query(
+    "with l as (select distinct l_orderkey, l_partkey from lineitem) select l_orderkey, case when p_partkey is not null then l_partkey + 1 else l_partkey end as link from l left join part on p_partkey = l_partkey"
+)
+def redirect_all_links(spark, sf):
+    x = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("link")).distinct()
+    ends = _t(spark, sf, "part").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") + 1).alias("new_id"))
+    return ingest.redirect(x, "link", ends)
+
+
 @query(
     "select 'removed' as side, k from (select l_partkey as k from lineitem where l_orderkey = 1 except select l_partkey from lineitem where l_orderkey = 2) t union all select 'appeared' as side, k from (select l_partkey as k from lineitem where l_orderkey = 2 except select l_partkey from lineitem where l_orderkey = 1) u"
 )
@@ -303,6 +346,13 @@ def link_diff(spark, sf):
     return graph.link_changes(x.where("l_orderkey = 1"), x.where("l_orderkey = 2"), "l_partkey")
 
 
+@query(
+    "select 'removed' as side, k from (select l_partkey as k from lineitem except select p_partkey from part) t union all select 'appeared' as side, k from (select p_partkey as k from part except select l_partkey from lineitem) u"
+)
+def link_diff_all(spark, sf):
+    return graph.link_changes(_t(spark, sf, "lineitem").select("l_partkey"), _t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+
+
 @query(
     "with o(prop, lang, val) as (values ('name', 'ru', 'A'), ('name', 'en', 'B'), ('age', '', '3')), n(prop, lang, val) as (values ('name', 'en', 'C')) select prop, lang, val from n union all select o.prop, o.lang, o.val from o left join n on o.prop = n.prop and o.lang = n.lang where n.prop is null"
 )
