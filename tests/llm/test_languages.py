@@ -82,3 +82,12 @@ def test_texts_without_language(spark, model):
     rows = lg.stretches(df, model)
     assert sorted((r.seq, r.pos, r.lang or "") for r in rows.collect()) == [(1, 0, ""), (1, 1, ""), (2, 0, ""), (3, 0, "fr"), (3, 0, "fr"), (4, 2, "it")]
     assert sorted(map(tuple, lg.doubtful_labels(rows.where("seq <> 3")).collect())) == [(4, 2, "it")]
+
+
+def test_final_training_has_four_epochs_of_any_sample(monkeypatch):
+    seen = []
+    descend = lg._descend
+    monkeypatch.setattr(lg, "_descend", lambda data, seed, epochs: seen.append(epochs) or descend(data, seed, epochs))
+    monkeypatch.setattr(lg, "STEPS", 0)  # as with a sample that is too large for it to count
+    lg.train([("The keeper of the boxes could not find the letters.", "en"), ("Niemand hat das zweite Album seit dem Frühling gesehen.", "de")] * 5)
+    assert seen[-1] == 4
