@@ -78,6 +78,26 @@ def wide_rows(pivoted: DataFrame, attributes: list[tuple[str, str, bool]]) -> Da
     return pivoted.select("subj", *(F.col(f"v{i}").alias(name if name != "subj" else "subj_value") for i, (name, _, _) in enumerate(attributes)))
 
 
+def counts(pivoted: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
+    """(subj, pred, n_values, n_fitting): how many values the cells that have any were given, and how many of them fit."""
+    cells = [F.struct(F.lit(name).alias("pred"), F.col(f"n{i}").alias("n_values"), F.col(f"f{i}").alias("n_fitting")) for i, (name, _, _) in enumerate(attributes)]
+    if not cells:
+        return pivoted.select("subj", F.lit("").alias("pred"), F.lit(0).cast("bigint").alias("n_values"), F.lit(0).cast("bigint").alias("n_fitting")).limit(0)
+    return pivoted.select("subj", F.explode(F.filter(F.array(*cells), lambda c: c["n_values"] > 0)).alias("c")).select("subj", "c.*")
+
+
+def values(facts: DataFrame, attributes: list[tuple[str, str, bool]], entity: str = "subj", attribute: str = "pred", value: str = "obj") -> DataFrame:
+    """(subj, pred, value, n): every different value that fits its attribute's type, as text of that type, and how often it was given."""
+    a, s = F.col("pred"), F.col("s")
+    x = facts.where(F.col(entity).isNotNull()).select(F.col(entity).alias("subj"), local_lower(attribute).alias("pred"), F.nullif(trimmed(value), F.lit("")).alias("s"))
+    of_type: dict[str, list[str]] = {}
+    for name, kind, _ in attributes:
+        of_type.setdefault(kind, []).append(name)
+    texts = [F.when(a.isin(names), typed(s, kind).cast("string")) for kind, names in of_type.items()]
+    v = F.coalesce(*texts, F.lit(None).cast("string"))
+    return x.select("subj", "pred", v.alias("value")).where("value is not null").groupBy("subj", "pred", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unclean_cells(pivoted: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
     """(subj, pred, status): cells that cannot be filled cleanly, ``untyped`` or ``conflict``."""
     cells = [

@@ -85,8 +85,17 @@ def p5_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide.wide_rows(wide.pivot(_table(spark, sf, "triples"), attributes), attributes)
 
 
+def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    attributes = wide.discover(_table(spark, sf, "onto_props"))
+    return wide.counts(wide.pivot(_table(spark, sf, "triples"), attributes), attributes)
+
+
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    return wide.values(_table(spark, sf, "triples"), wide.discover(_table(spark, sf, "onto_props")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_hierarchy, p1_all_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide)}
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_hierarchy, p1_all_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide, p5_counts, p5_values)}
 
 
 # the same by SQL, for queries that SQL can express on whole tables

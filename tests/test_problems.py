@@ -262,3 +262,11 @@ def test_wide_of_hard_rows(spark):
     assert dict(out.dtypes)["age"] == "decimal(38,0)" and dict(out.dtypes)["height"] == "double" and dict(out.dtypes)["born"] == "date"
     assert sorted(r.subj for r in out.collect()) == ["a", "b", "hot"]
     assert wide.unclean_cells(wide.pivot(facts.limit(0), attributes), attributes).collect() == []
+
+
+def test_no_value_of_many_is_lost(spark):
+    attributes = [("part", "string", False), ("age", "integer", True)]
+    rows = [("x", "part", "b"), ("x", "o:Part", " a "), ("x", "part", "b"), ("x", "age", "1 000"), ("x", "age", "1000"), ("x", "age", "old"), ("y", "part", " "), ("y", "else", "z")]
+    facts = spark.createDataFrame(rows, "subj string, pred string, obj string")
+    assert {tuple(r) for r in wide.values(facts, attributes).collect()} == {("x", "part", "a", 1), ("x", "part", "b", 2), ("x", "age", "1000", 2)}
+    assert {tuple(r) for r in wide.counts(wide.pivot(facts, attributes), attributes).collect()} == {("x", "part", 3, 3), ("x", "age", 3, 2)}
