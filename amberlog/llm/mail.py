@@ -31,15 +31,24 @@ _POSTMARK = re.compile(r"\AFrom \S+@\S+ [^\n]*\n")
 _SIGNATURE = re.compile(r"^-- ?\n", re.M)
 _RULE = re.compile(r"^[ \t]*(?:_{5,}|-{5,}|={5,}|\*{3,}|~{5,})[ \t]*\n(?=[ \t]*[^\W\d_][^\n|;\t]{20,})", re.M)
 _BLANK = re.compile(r"\n[ \t]*\n")
-#: How closing lines and disclaimers begin, and greetings.
+#: How closing lines begin, and greetings.
 CLOSINGS = (
     "regards", "best wishes", "best regards", "kind regards", "thanks", "thank you", "cheers", "sincerely", "yours", "с уважением", "спасибо", "всего доброго", "з повагою", "дякую", "щиро",
     "mit freundlichen grüßen", "viele grüße", "freundliche grüße", "mit besten grüßen", "danke", "grüße", "cordialement", "merci", "bien à vous", "amicalement", "un saludo", "saludos", "gracias", "atentamente",
     "cordiali saluti", "saluti", "grazie", "un saluto", "distinti saluti", "bien cordialement", "beste grüße", "liebe grüße", "con gratitudine", "до побачення", "до свидания",
 )
-DISCLAIMERS = (
-    "this message is meant only", "the views above belong", "это письмо предназначено", "мнения выше", "цей лист призначено", "цей лист призначений", "diese nachricht ist nur", "die ansichten oben", "ce message est réservé",
-    "este mensaje", "questo messaggio", "les avis ci-dessus", "las opiniones", "le opinioni", "this e-mail", "this email", "confidential",
+#: What a disclaimer speaks of, in word beginnings: the message, whom it is for or from, mistakes and what to do then, views and liability.
+DISCLAIMER_TOPICS = (
+    ("message", "mail", "e-mail", "email", "letter", "communication", "письм", "сообщени", "лист", "повідомлен", "nachricht", "courriel", "courrier", "mensaje", "correo", "carta", "messaggi", "lettera"),
+    (
+        "addressed", "addressee", "intended", "recipient", "sender", "writer", "author", "confidential", "privileged", "адресат", "отправител", "получател", "автор", "конфиденциальн", "одержувач", "відправник",
+        "конфіденційн", "empfänger", "absender", "verfasser", "vertraulich", "destinataire", "expéditeur", "auteur", "confidentiel", "destinatario", "remitente", "autor", "confidencial", "mittente", "riservat",
+    ),
+    (
+        "mistake", "error", "delete", "remove", "destroy", "copies", "copy", "print", "ошибк", "удалит", "копии", "помилк", "видал", "копії", "irrtüm", "versehentlich", "löschen", "kopien", "erreur", "effacez",
+        "supprimez", "copie", "error", "borre", "elimin", "copia", "errore", "cancell",
+    ),
+    ("views", "opinion", "liable", "liability", "bind", "мнени", "ответственност", "погляд", "відповідальн", "ansicht", "meinung", "haftung", "avis", "responsab", "opinione", "opiniones"),
 )
 GREETINGS = (
     "hello", "hi", "dear", "good morning", "good afternoon", "good evening", "здравствуйте", "добрый день", "доброе утро", "привет", "уважаем", "добрий день", "вітаю", "привіт", "доброго", "hallo", "guten", "liebe", "sehr geehrte",
@@ -81,27 +90,43 @@ def _split(text: str) -> tuple[dict[str, str], str]:
     return {k.lower(): v for k, v in _FIELD.findall(m[0])}, rest.removeprefix("\n")
 
 
-def _texts(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """[(kind, text)] of the readable parts of a mail: kind is plain or html; attachments are left out."""
-    head, body = _split(text)
+def _leaf(head: dict[str, str], body: str) -> tuple[str, str]:
     kind = head.get("content-type", "").lower()
-    if "attachment" in head.get("content-disposition", "").lower() or kind.startswith(("application/", "image/", "audio/", "video/")):
-        return []
-    if depth < 8:
+    charset = re.search(r"charset\s*=\s*\"?([\w-]+)", kind)
+    decoded = _decoded(body, head.get("content-transfer-encoding", "").strip().lower(), charset[1] if charset else "utf-8")
+    markup = kind.startswith("text/html") or ("<" in decoded and _MARKUP.search(decoded) is not None)
+    return ("html", _plain(decoded)) if markup else ("plain", decoded)
+
+
+def _texts(text: str) -> list[tuple[str, str]]:
+    """[(kind, text)] of the readable parts of a mail: kind is plain or html; attachments are left out.  Parts may lie in parts to any depth."""
+    out: list[tuple[str, str]] = []
+    # a task reads a part (its text), or ends the part whose texts begin at a place of ``out``: (place, only plain ones are wanted, what stands for none)
+    stack: list = [text]
+    while stack:
+        what = stack.pop()
+        if isinstance(what, tuple):
+            begin, alternative, instead = what
+            if alternative and any(k == "plain" and t.strip() for k, t in out[begin:]):
+                out[begin:] = [x for x in out[begin:] if x[0] == "plain"]
+            if len(out) == begin and instead is not None:
+                out.append(("plain", instead))
+            continue
+        head, body = _split(what)
+        kind = head.get("content-type", "").lower()
+        if "attachment" in head.get("content-disposition", "").lower() or kind.startswith(("application/", "image/", "audio/", "video/")):
+            continue
         found = _BOUNDARY.search(head.get("content-type", "")) if kind.startswith("multipart") else None
         mark = (found[1] or found[2]) if found else None
         if mark is None and (loose := _LOOSE_PART.search(body)):
             mark = loose[1].rstrip()
-        if mark is not None and f"--{mark}" in body:
-            pieces = ("\n" + body).split(f"\n--{mark}")
-            out = [t for p in pieces[1:] if not p.startswith("--") for t in _texts(p.lstrip(" \t").removeprefix("\n"), depth + 1)]
-            if kind.startswith("multipart/alternative") and any(k == "plain" and t.strip() for k, t in out):
-                out = [x for x in out if x[0] == "plain"]
-            return out or ([("plain", pieces[0])] if not depth else [])
-    charset = re.search(r"charset\s*=\s*\"?([\w-]+)", kind)
-    decoded = _decoded(body, head.get("content-transfer-encoding", "").strip().lower(), charset[1] if charset else "utf-8")
-    markup = kind.startswith("text/html") or ("<" in decoded and _MARKUP.search(decoded) is not None)
-    return [("html", _plain(decoded)) if markup else ("plain", decoded)]
+        if mark is None or f"--{mark}" not in body:
+            out.append(_leaf(head, body))
+            continue
+        pieces = ("\n" + body).split(f"\n--{mark}")
+        stack.append((len(out), kind.startswith("multipart/alternative"), None if what is not text else pieces[0]))
+        stack += [p.lstrip(" \t").removeprefix("\n") for p in reversed(pieces[1:]) if not p.startswith("--")]
+    return out
 
 
 def readable(text: str) -> str:
@@ -140,15 +165,20 @@ def _is_greeting(paragraph: str) -> bool:
     return words.startswith(GREETINGS) or words.rstrip("!., ").endswith(GREETINGS)
 
 
+def _is_disclaimer(paragraph: str) -> bool:
+    """Whether a paragraph speaks of three of the topics of disclaimers, or of two below a rule."""
+    words = [w for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", paragraph.lower())]
+    return sum(any(w.startswith(topic) for w in words) for topic in DISCLAIMER_TOPICS) >= (2 if _RULE.match(paragraph.lstrip("\n")) else 3)
+
+
 def _without_end(s: str) -> str:
     """Without the disclaimers, the signature and the closing it ends with; unchanged if nothing else is there."""
     kept = s.rstrip()
     while kept:
         at = max((x.end() for x in _BLANK.finditer(kept)), default=0)
         first, _, rest = kept[at:].lstrip("\n").partition("\n")
-        below = (rest if _RULE.match(f"{first}\n{rest}") else first).strip().lower()
         closing = len(first) < 40 and first.strip().lower().startswith(CLOSINGS)
-        if not (below.startswith(DISCLAIMERS) or closing or first.rstrip() == "--"):
+        if not (closing or first.rstrip() == "--" or _is_disclaimer(kept[at:])):
             break
         kept = kept[:at].rstrip()
     return kept if kept.strip() else s
@@ -208,7 +238,7 @@ def own_part(text: str | None) -> str:
     if m := _RULE.search(s):
         s = s[: m.start()]
     paragraphs = [p for p in re.split(r"\n[ \t]*\n", s) if p.strip()]
-    while paragraphs and paragraphs[-1].strip().lower().startswith(DISCLAIMERS):
+    while paragraphs and _is_disclaimer(paragraphs[-1]):
         paragraphs.pop()
     for i in range(max(0, len(paragraphs) - 2), len(paragraphs)):
         lines = paragraphs[i].strip("\n").split("\n")

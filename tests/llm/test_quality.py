@@ -1,5 +1,6 @@
 import math
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 from amberlog.llm import mail, quality
 
@@ -46,7 +47,7 @@ def test_forms():
     for sep in ("\t", ";", " | ", "     "):
         assert form(HEAD + "\n" + "\n".join(sep.join(c or "0" for c in r) for r in rows)) == "table", sep
     assert form("Content-Type: text/html\n\n<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>") == "table"
-    for bad in ("YELL YELL YELL YELL YELL YELL\n" * 5, "=-=-=-=-=-=-=-=-=\n" * 5, "O8MFSI3Sg0B72Szv7xR2AVFPNuEVJNs9Z8HZAj9P6XNo\n" * 3 + "GMpJ4ZIess4NafB1KhRlSK573rpiBAMN1aEl5ZS0KY4zkgul\n", ".a { margin:4px; padding:0 }\n.b { margin:3px; padding:1 }\nvar x=8;if(!y){}"):
+    for bad in ("=-=-=-=-=-=-=-=-=\n" * 5, "O8MFSI3Sg0B72Szv7xR2AVFPNuEVJNs9Z8HZAj9P6XNo\n" * 3 + "GMpJ4ZIess4NafB1KhRlSK573rpiBAMN1aEl5ZS0KY4zkgul\n", ".a { margin:4px; padding:0 }\n.b { margin:3px; padding:1 }\nvar x=8;if(!y){}"):
         assert form(HEAD + "\n" + bad) == "junk", bad
     assert form(None) is None and form("  ") is None
 
@@ -94,15 +95,66 @@ def test_statistics_are_true_values(spark):
     assert [round(4 * math.exp(-out[i].word_count_score)) for i in range(4)] == [2, 3, 4, 2]
 
 
-def test_kind_does_not_depend_on_peers(spark):
+def test_most_of_a_form_counts_whatever_the_peers(spark):
     junk = HEAD + "\n" + "=-=-=-=-=-=-=-=-=\n" * 5
     items = HEAD + "\n" + "\n".join("- " + x for x in ("the keys", "two cups of tea", "Anna", "an album, 1912", "ribbons", "a map"))
     rows = [(1, items, "fr"), (2, junk, "de"), (3, junk, "de"), (4, HEAD + "\n" + BODY, "en"), (5, items, "en"), (6, junk, "en"), (7, BODY, "es"), (8, None, "it")]
     got = quality.outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
     assert {r.doc_id: r.kind for r in got} == {1: "list", 2: "junk", 3: "junk", 4: "prose", 5: "list", 6: "junk", 7: "prose", 8: None}
-    scores = {r.doc_id: r.prose_score for r in got}
-    assert scores[4] == 0 and scores[5] >= math.log(2) and scores[6] >= math.log(2)
-
+    assert all(r.distance >= 1 for r in got if r.kind in ("list", "junk"))
+
+
+def _mails(n):
+    """Ordinary mails of words put together anew, all different in their statistics."""
+    rng = random.Random(4)
+    words = BODY.replace(".", "").lower().split()
+    return [HEAD + "\n" + "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(8, 14))).capitalize() + "." for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+
+
+def test_distances_decide_what_makes_no_sense(spark, monkeypatch):
+    """Mash, broken characters and one word over and over look like prose line by line; only the ranks tell them apart, and without them they are prose."""
+    mash = HEAD + "\n" + "\n".join("kjhgf qwrtz sdfgh wxcvb nmlkj hgfds qwtrp zxcvq wrtpl kjhgf dsqwx cvbnm, lkjhg fdsqw rtzpl" for _ in range(4))
+    over = HEAD + "\n" + "lumora lumora lumora lumora lumora lumora lumora lumora lumora lumora lumora lumora lumora.\n" * 6
+    broken = HEAD + "\n" + BODY.replace("e", "Ð\u008f").replace("a", "Ñ\u0081")
+    texts = [*_mails(1_500), mash, over, broken]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    kinds = {r.doc_id: r.kind for r in quality.outliers(docs).collect()}
+    assert [kinds[i] for i in (1_500, 1_501, 1_502)] == ["junk"] * 3
+    assert sum(k != "prose" for k in kinds.values()) <= 3 + 0.01 * 1_500
+    assert {form(t) for t in (mash, over, broken)} == {"prose"}  # no form of lines makes up most of any of them
+    monkeypatch.setattr(quality, "SENSELESS", 9.0)
+    assert all(r.kind == "prose" for r in quality.outliers(docs).collect())
+
+
+def test_distances_equal_brute_force(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    out = quality.outliers(spark.read.parquet(f"{path}/documents.parquet")).collect()
+    share = lambda r: max(r.list_share, r.table_share, r.junk_share)
+    ordinary = [r for r in out if r.word_count and share(r) <= quality.MOST and r.outlier_score <= quality.ORDINARY]
+    per = Counter(r.lang for r in ordinary)
+    group = lambda r: r.lang if per[r.lang] >= quality.PEERS else "few"
+    for s in quality.PEERED:
+        for r in out[::7]:
+            peers = [x[s] for x in ordinary if group(x) == group(r)]
+            beyond = sum(v >= r[s] if quality.STATISTICS[s] == 1 else v <= r[s] for v in peers)
+            want = min(1.0, math.log((1 + len(peers)) / (1 + beyond)) / math.log(quality.PEERS))
+            want = 1.0 if s.endswith("_share") and r[s] > quality.MOST else want
+            assert math.isclose(r[f"{s}_distance"], want, abs_tol=1e-9)
+
+
+def test_disclaimers_and_deep_parts():
+    for end in (
+        "This message is meant only for the person it is addressed to. If it reached you by mistake, tell the sender and remove every copy.",
+        "The information in this e-mail is confidential and intended for the recipient. Delete it if you got it in error.",
+        "Diese Nachricht ist vertraulich und nur für den Empfänger. Haben Sie sie irrtümlich erhalten, löschen Sie sie bitte.",
+        "Содержание этого письма предназначено адресату. Получив его по ошибке, удалите все копии.",
+    ):
+        assert mail.own_part(HEAD + "\n" + BODY + "\n\n" + end) == BODY
+    assert mail.own_part(HEAD + "\n" + BODY + "\n\nThe letter came back by mistake and nobody kept it.") == BODY + "\n\nThe letter came back by mistake and nobody kept it."
+    deep = "Content-Type: text/plain\n\n" + BODY
+    for i in range(300):
+        deep = f'Content-Type: multipart/mixed; boundary="b{i}x"\n\n--b{i}x\n{deep}\n--b{i}x--\n'
+    assert mail.own_part(deep).strip() == BODY
 
 
 def test_own_part_below_an_original():
