@@ -36,13 +36,13 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_all_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     """Path, depth and descendants of every class that is on no loop; below a loop they begin with the class right under it."""
-    h = hierarchy.hierarchy(hierarchy.without_loops(_links(spark, sf)))
-    return h.select(F.col("name").alias("about"), F.col("root").alias("top"), "depth", F.array_join("path", "/").alias("path"), F.col("descendants").alias("n_descendants"))
+    h = hierarchy.hierarchy(_links(spark, sf), below_loops=True).where("not on_loop")
+    return h.select(F.col("name").alias("about"), F.col("path")[0].alias("top"), "depth", F.array_join("path", "/").alias("path"), F.col("descendants").alias("n_descendants"))
 
 
 def p1_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs of p1_descendants and those among the classes below loops."""
-    return hierarchy.closure(hierarchy.hierarchy(hierarchy.without_loops(_links(spark, sf))))
+    return hierarchy.closure(hierarchy.hierarchy(_links(spark, sf), below_loops=True))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, local runs) a temporary folder, set once for the session."""
+    """The folder named by spark.checkpoint.dir, or the checkpoint folder that the session has; on a local master else a temporary one.
+
+    A cluster whose settings name none gets an error: a folder of one machine would hold a part of each table only.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if known:
@@ -18,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(known)
         return known
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="amberlog-"))
     return jsc.getCheckpointDir().get()
 
@@ -51,5 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _made.append((jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())))
-    return spark.read.schema(df.schema).parquet(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    _made.append((jpath, fs))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = (jpath, fs)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that no later plan reads (one that a newer one has taken the place of)."""
+    at = getattr(df, "_written_at", None)
+    if at is not None:
+        at[1].delete(at[0], True)

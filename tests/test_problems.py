@@ -48,16 +48,17 @@ def test_p5(spark, sf):
 # hierarchies
 
 
-def tree_of(spark, rows, paths=True):
+def tree_of(spark, rows, paths=True, residue=None):
     df = spark.createDataFrame(rows, "def_seq bigint, about string, subclassof string, root string, k string, path string")
-    return hierarchy.hierarchy(hierarchy.newest_links(df, class_key("about"), class_key("subclassof"), F.col("def_seq")), paths)
+    return hierarchy.hierarchy(hierarchy.newest_links(df, class_key("about"), class_key("subclassof"), F.col("def_seq")), paths, residue=residue)
 
 
 def class_rows(pairs):
     return [(i, a, p, "x", "y", "z") for i, (a, p) in enumerate(pairs)]
 
 
-def test_hierarchy_shapes(spark):
+@pytest.mark.parametrize("residue", [0, 40, None])
+def test_hierarchy_shapes(spark, residue):
     rng = random.Random(3)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(90)]
     star = [(f"s{i}", "hub") for i in range(40)] + [("hub", "c030")]
@@ -69,7 +70,8 @@ def test_hierarchy_shapes(spark):
     pairs += [("repeat", "top")]
     rows = class_rows(pairs)
     want = brute.classes((r[0], r[1], r[2]) for r in rows)
-    got = tree_of(spark, rows).collect()
+    got = tree_of(spark, rows, residue=residue).collect()
+    assert {(r.name, r.root, r.steps) for r in tree_of(spark, rows, False, residue).collect()} == {(k, *v) for k, v in want.items()}
     assert {r.name: (r.root, r.steps) for r in got} == want
     below = {}
     for r in got:
@@ -91,7 +93,21 @@ def test_hierarchy_of_nothing_and_of_one_loop(spark):
     got = tree_of(spark, class_rows([("a", "b"), ("b", "a")]), False).collect()
     assert sorted((r.name, r.root, r.steps) for r in got) == [("a", "a", -1), ("b", "a", -1)]
     ring = [(f"n{i:02}", f"n{(i + 1) % 50:02}") for i in range(50)]
-    assert {(r.root, r.steps) for r in tree_of(spark, class_rows(ring), False).collect()} == {("n00", -1)}
+    for residue in (0, 10, None):
+        assert {(r.root, r.steps) for r in tree_of(spark, class_rows(ring), False, residue).collect()} == {("n00", -1)}
+        assert {(r.root, r.steps, r.on_loop, r.path) for r in tree_of(spark, class_rows(ring), True, residue).collect()} == {("n00", -1, True, None)}
+
+
+def test_rows_do_not_grow_with_chains_and_rings(spark):
+    """Without paths an edge carries a number and a name, however much was taken out of it."""
+    n = 4_000
+    ring = spark.range(n).select(F.concat(F.lit("r"), F.col("id")).alias("k"), F.concat(F.lit("r"), (F.col("id") + 1) % n).alias("p"))
+    chain = spark.range(n).select(F.concat(F.lit("c"), F.col("id")).alias("k"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("p"))
+    finished, gone = hierarchy.peel(ring.unionByName(chain), residue=2_000)
+    assert gone and all(dict(g.dtypes)["n"] == "bigint" and "via" not in g.columns for g in gone)
+    got = hierarchy.hierarchy(ring.unionByName(chain), paths=False, residue=2_000)
+    assert got.where("name like 'r%'").select("root", "steps").distinct().collect() == [("r0", -1)]
+    assert got.where("name like 'c%' and (root <> 'c0' or steps <> cast(substring(name, 2) as int))").count() == 0
 
 
 def test_descendants_below_loops(spark):
@@ -106,10 +122,15 @@ def test_descendants_below_loops(spark):
             want.add((up, name, steps))
             up, steps = parent[up], steps + 1
     links = spark.createDataFrame(loops, "k string, p string")
-    tree = hierarchy.hierarchy(hierarchy.without_loops(links))
+    for residue in (0, 10_000):
+        _check_below_loops(links, residue, want, set(parent) - on_loop)
+
+
+def _check_below_loops(links, residue, want, names):
+    tree = hierarchy.hierarchy(links, below_loops=True, residue=residue)
     assert {(r.ancestor, r.descendant, r.distance) for r in hierarchy.closure(tree).collect()} == want
-    got = {r.name: (r.path[0], r.depth, r.descendants) for r in tree.collect()}
-    assert got.keys() == set(parent) - on_loop
+    got = {r.name: (r.path[0], r.depth, r.descendants) for r in tree.where("not on_loop").collect()}
+    assert got.keys() == names
     assert got["below"] == ("below", 0, 3) and got["least"] == ("below", 2, 0) and got["kid"] == ("kid", 0, 1) and got["c00"] == ("c00", 0, 29) and got["top"] == ("top", 0, 1)
 
 
