@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from amberlog.operators.lookup import ranked
+
 
 def links(records: DataFrame) -> DataFrame:
     """(id, tp, prop, target): one row per link."""
@@ -113,17 +115,32 @@ def record(records: DataFrame, id_: str, with_inverse: bool = False) -> DataFram
     return x if with_inverse else x.withColumn("props", F.filter("props", lambda e: e["tag"] != 3))
 
 
-def with_inverse_entries(records: DataFrame, most: int = 10_000) -> DataFrame:
-    """Records with an entry of tag 3 for every link that points to them, for records with at most ``most`` such links.
+#: Inverse entries that one row of a record holds.
+ENTRIES_A_ROW = 10_000
+
+
+def with_inverse_entries(records: DataFrame, a_row: int = ENTRIES_A_ROW) -> DataFrame:
+    """Records with an entry of tag 3 for every link that points to them, in order of property and source.
 
-    A record with more keeps its own entries and takes its inverse links from :func:`links`, since they would not fit into one row.
+    A record with more than ``a_row`` inverse entries takes several rows: ``part`` 0 has its own entries and the first inverse ones, the
+    others have its id, tp and the next ones.  So no row grows with a hot record, and none of its entries is left out.  Parts are numbered by
+    positions within ranges of (id, property, source), so a hot record is sorted by many tasks.
     """
     back = links(records).select(F.col("target").alias("id"), "prop", F.col("id").alias("source"))
-    few = back.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("id")
-    entry = F.struct(F.lit(3).alias("tag"), F.col("prop"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("link"), F.col("source").alias("sourcelink"))
-    lists = back.join(few, "id", "left_semi").groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(entry)).alias("__in"))
+    back = back.join(records.select("id").distinct(), "id", "left_semi")
+    ordered = ranked(back, ["id", "prop", "source"], "__pos")
+    # positions run through all records, so a record's parts begin with the block in which its first entry lies
+    first = ordered.groupBy(F.col("id").alias("__f_id")).agg(F.min("__pos").alias("__first"))
+    placed = ordered.join(first, F.col("id") == F.col("__f_id")).withColumn("part", F.floor((F.col("__pos") - F.col("__first")) / a_row).cast("int"))
+    like = records.schema["props"].dataType.elementType
+    filled = {"tag": F.lit(3), "prop": F.col("prop"), "sourcelink": F.col("source")}
+    entry = F.struct(*((filled[f.name] if f.name in filled else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.fields))
+    lists = placed.groupBy(F.col("id").alias("__id"), F.col("part").alias("__part")).agg(F.array_sort(F.collect_list(F.struct("__pos", entry.alias("e")))).alias("__in"))
+    lists = lists.select("__id", "__part", F.transform("__in", lambda x: x["e"]).alias("__in"))
     empty = F.array().cast(records.schema["props"].dataType)
-    return records.join(lists, F.col("id") == F.col("__id"), "left").withColumn("props", F.concat(F.coalesce("props", empty), F.coalesce("__in", empty))).drop("__id", "__in")
+    joined = records.join(lists, F.col("id") == F.col("__id"), "left").withColumn("part", F.coalesce("__part", F.lit(0)))
+    own = F.when(F.col("part") == 0, F.coalesce("props", empty)).otherwise(empty)
+    return joined.withColumn("props", F.concat(own, F.coalesce("__in", empty))).drop("__id", "__part", "__in")
 
 
 def portrait(records: DataFrame, ids: DataFrame) -> DataFrame:

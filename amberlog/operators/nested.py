@@ -9,7 +9,8 @@ A record has optional ``id``, ``tp``, ``mT``, ``props``.  An entry of ``props``
 ``tag``, or as a pair of tag and content.  ``record`` of an objprop or invlink holds a record, a list of records, or either as JSON text.
 
 Defined results.  A body that is null, blank or not valid JSON as a whole gives no rows (constants like NaN and half surrogates in numbers are
-not JSON), and so does a body that is neither record nor list.  List items that are no records keep their position and give no rows; so do
+not JSON), and so does a body that is neither record nor list.  Whole numbers of any length are numbers; a number beyond the range of reals is
+one too.  Of an entry with several variants the first that is filled counts (field, objprop, invlink).  List items that are no records keep their position and give no rows; so do
 null, empty and tag-0 entries.  A lone entry in place of a list has position 0.  A record text that is not JSON holds nothing.  Other keys are
 ignored.  Of a repeated key the last counts.  Repeated bodies are walked each for itself.
 """
@@ -17,6 +18,7 @@ ignored.  Of a repeated key the last counts.  Repeated bodies are walked each fo
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from json.decoder import scanstring
@@ -36,12 +38,20 @@ def _no(constant: str):
     raise ValueError(constant)
 
 
+class Digits(str):
+    """A whole number of any length, kept as its text: reading it as a number takes time that grows with the square of its length."""
+
+
+def _whole(text: str) -> int | Digits:
+    return int(text) if len(text) < 1_000 else Digits(text)
+
+
 def parse(text: str | None):
     """The value of a JSON text; raises ValueError if it is none.  Texts nested too deeply for the recursive parser go to one with a stack."""
     if text is None:
         raise ValueError("null")
     try:
-        return json.loads(text, parse_constant=_no)
+        return json.loads(text, parse_constant=_no, parse_int=_whole)
     except RecursionError:
         return _parse_deep(text)
 
@@ -84,7 +94,7 @@ def _parse_deep(text: str):
             v = opened = [] if c == "[" else {}
             at = _BLANK.match(text, at + 1).end()
         elif m := _NUMBER.match(text, at):
-            v, at = (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+            v, at = (float(m[0]) if m[1] or m[2] else _whole(m[0])), m.end()
         else:
             raise ValueError(f"no value at {at}")
         put(v)
@@ -117,16 +127,19 @@ def _parse_deep(text: str):
                 raise ValueError(f"a comma is missing at {at}")
 
 
+_TAG = re.compile(r"\s*\+?[0-9]{1,9}\s*")
+
+
 def _tag(x) -> int | None:
-    if isinstance(x, bool) or x is None:
+    if isinstance(x, (bool, Digits)) or x is None:
         return None
     if isinstance(x, int):
         return x
     if isinstance(x, float):
-        return int(x) if x == int(x) else None
-    if isinstance(x, str) and x.strip().lstrip("+").isdigit():
-        return int(x)
-    return _TAGS.get(x.strip().lower()) if isinstance(x, str) else None
+        return int(x) if math.isfinite(x) and x == int(x) else None
+    if isinstance(x, str):
+        return int(x) if _TAG.fullmatch(x) else _TAGS.get(x.strip().lower())
+    return None
 
 
 def _entry(e) -> tuple[str, dict] | None:
@@ -139,10 +152,7 @@ def _entry(e) -> tuple[str, dict] | None:
     if "tag" in e:
         kind = KINDS.get(_tag(e["tag"]))
         return (kind, e) if kind and len(e) > 1 else None
-    for kind in _TAGS:
-        if kind in e:
-            return (kind, e[kind]) if isinstance(e[kind], dict) and e[kind] else None
-    return None
+    return next(((kind, e[kind]) for kind in _TAGS if isinstance(e.get(kind), dict) and e[kind]), None)
 
 
 def _props(props) -> list:
@@ -152,8 +162,37 @@ def _props(props) -> list:
     return [] if props is None else [props]
 
 
+_NO_MORE = object()
+
+
+def _text(x) -> str:
+    """A JSON value as text, without recursion: what is still to be written lies on a stack."""
+    out: list[str] = []
+    stack: list = [iter([("", x)])]
+    closing: list[str] = [""]
+    while stack:
+        item = next(stack[-1], _NO_MORE)
+        if item is _NO_MORE:
+            stack.pop()
+            out.append(closing.pop())
+            continue
+        lead, v = item
+        out.append(lead)
+        if isinstance(v, dict):
+            out.append("{")
+            closing.append("}")
+            stack.append(iter([((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ", w) for i, (k, w) in enumerate(v.items())]))
+        elif isinstance(v, list):
+            out.append("[")
+            closing.append("]")
+            stack.append(iter([(", " if i else "", w) for i, w in enumerate(v)]))
+        else:
+            out.append(str(v) if isinstance(v, Digits) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def _str(x) -> str | None:
-    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return str(x) if isinstance(x, str) else None if x is None else _text(x)
 
 
 def walk(body: str | None) -> list[dict]:
@@ -174,7 +213,7 @@ def walk(body: str | None) -> list[dict]:
             continue
         kind, x, path, level = what
         if kind == "records":
-            if isinstance(x, str) and level:
+            if isinstance(x, str) and level and not isinstance(x, Digits):
                 try:
                     x = parse(x)
                 except ValueError:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberlog.operators import names
+from amberlog.operators.lookup import ranked
 
 
 def by_subject(triples: DataFrame, s: str) -> DataFrame:
@@ -28,14 +29,23 @@ def encode(triples: DataFrame, table: DataFrame) -> DataFrame:
     return x.select(F.col("s_code").alias("s"), F.col("p_code").alias("p"), "tag", "iri", F.when(F.col("tag") == 2, F.col("o")).alias("str"))
 
 
-def records(triples: DataFrame, lang: Column | None = None) -> DataFrame:
-    """One record per subject: {id, directs[{prop, entity}], fields[{prop, value, lang}]}, entries in order of predicate and object.
+#: Entries of a subject that one record row holds.
+ENTRIES_A_ROW = 10_000
 
-    A subject's entries become one row, so this is for subjects of bounded size; use the triples themselves where a subject may be hot.
+
+def records(triples: DataFrame, lang: Column | None = None, a_row: int = ENTRIES_A_ROW) -> DataFrame:
+    """Records {id, part, directs[{prop, entity}], fields[{prop, value, lang}]}, entries in order of predicate, object and language.
+
+    A subject with more than ``a_row`` triples takes several rows, numbered by ``part``: every row is bounded, and a hot subject is sorted and
+    gathered by many tasks.  Subjects of the usual size have the one row of part 0.
     """
+    x = triples.select(F.col("s").alias("id"), "p", "tag", "o", (lang if lang is not None else F.lit(None).cast("string")).alias("lang")).where("tag in (1, 2)")
+    ordered = ranked(x, ["id", "p", "o", "lang", "tag"], "__pos")
+    first = ordered.groupBy(F.col("id").alias("__f_id")).agg(F.min("__pos").alias("__first"))
+    placed = ordered.join(first, F.col("id").eqNullSafe(F.col("__f_id"))).withColumn("part", F.floor((F.col("__pos") - F.col("__first")) / a_row).cast("int"))
     direct = F.when(F.col("tag") == 1, F.struct(F.col("p").alias("prop"), F.col("o").alias("entity")))
-    field = F.when(F.col("tag") == 2, F.struct(F.col("p").alias("prop"), F.col("o").alias("value"), (lang if lang is not None else F.lit(None).cast("string")).alias("lang")))
-    return triples.groupBy(F.col("s").alias("id")).agg(F.array_sort(F.collect_list(direct)).alias("directs"), F.array_sort(F.collect_list(field)).alias("fields"))
+    field = F.when(F.col("tag") == 2, F.struct(F.col("p").alias("prop"), F.col("o").alias("value"), F.col("lang")))
+    return placed.groupBy("id", "part").agg(F.array_sort(F.collect_list(direct)).alias("directs"), F.array_sort(F.collect_list(field)).alias("fields"))
 
 
 def refers(record_rows: DataFrame, target: str) -> DataFrame:

@@ -135,17 +135,17 @@ def _tag(value: Sequence, kind: Kind) -> int:
     return value[0]
 
 
-def as_value(kind: Kind, depth: int = 64):
-    """A type as a value: (number of its kind, what belongs to it); below ``depth`` types are None."""
-    if depth < 0:
+def as_value(kind: Kind, depth: int | None = None):
+    """A type as a value: (number of its kind, what belongs to it), to any depth; if ``depth`` is given, types below it are None."""
+    if depth is not None and depth < 0:
         return None
-    number = KINDS.index(kind.name)
+    number, below = KINDS.index(kind.name), None if depth is None else depth - 1
     if kind.name == "fstring":
         return (number, kind.size)
     if kind.name in ("record", "union"):
-        return (number, [(n, as_value(k, depth - 1)) for n, k in kind.parts])
+        return (number, [(n, as_value(k, below)) for n, k in kind.parts])
     if kind.name == "sequence":
-        return (number, (kind.growing, as_value(kind.element, depth - 1)))
+        return (number, (kind.growing, as_value(kind.element, below)))
     return (number, None)
 
 

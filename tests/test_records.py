@@ -28,8 +28,26 @@ def test_record_and_inverse_entries(spark, people):
     assert graph.record(people, "zz").collect() == []
     got = {r.id: [(e.prop, e.sourcelink) for e in r.props if e.tag == 3] for r in graph.with_inverse_entries(people).collect()}
     assert got == {"a": [("old", "z"), ("of", "d")], "b": [("father", "a"), ("of", "d")], "c": [], "d": []}
-    capped = {r.id: sum(e.tag == 3 for e in r.props) for r in graph.with_inverse_entries(people, most=1).collect()}
-    assert capped["b"] == 0 and capped["a"] == 2
+    parts = sorted((r.id, r.part, sum(e.tag == 3 for e in r.props), len(r.props)) for r in graph.with_inverse_entries(people, a_row=1).collect())
+    assert parts == [("a", 0, 2, 5), ("b", 0, 1, 3), ("b", 1, 1, 1), ("c", 0, 0, 0), ("d", 0, 0, 3)]
+
+
+def test_no_entry_of_a_hot_record_is_lost(spark, people):
+    links = spark.range(10_001).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit("photo").alias("tp"), F.lit("t").alias("x"), F.array(F.struct(F.lit(2).alias("tag"), F.lit("of").alias("prop"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"), F.lit("hot").alias("link"), F.lit(None).cast("string").alias("sourcelink"))).alias("props"))
+    hot = spark.createDataFrame([("hot", "person", "t", [])], people.schema)
+    rows = graph.with_inverse_entries(hot.unionByName(spark.createDataFrame(links.rdd, people.schema))).where("id = 'hot'").orderBy("part").collect()
+    assert [(r.part, len(r.props)) for r in rows] == [(0, 10_000), (1, 1)]
+    assert len({e.sourcelink for r in rows for e in r.props}) == 10_001
+
+
+def test_no_triple_of_a_hot_subject_is_lost(spark):
+    from amberlog.operators import triples
+
+    t = spark.range(25).select(F.lit("hot").alias("s"), F.lit("p").alias("p"), (F.col("id") % 2 + 1).cast("int").alias("tag"), F.col("id").cast("string").alias("o"))
+    rows = triples.records(t, a_row=10).orderBy("part").collect()
+    assert [len(r.directs) + len(r.fields) for r in rows] == [10, 10, 5]
+    assert {d.entity for r in rows for d in r.directs} | {f.value for r in rows for f in r.fields} == {str(i) for i in range(25)}
+
 
 
 def test_portrait_and_accessors(spark, people):
