@@ -8,9 +8,12 @@ things are kept beside the files:
 * nothing else: a reader scans the files and filters positions by the vectors.
 
 The image that counts has the latest change time; of equal times the one with the smallest sequence number; an unreadable time is older than
-any other.  Choosing it is a maximum over a struct per key, which combines before the shuffle: a key with a third of all rows is no hot
-group.  The vector of a block is the complement of the positions that the index points to, so no row is joined to find superseded rows, and
-what moves is one bit per row.
+any other.  Choosing it is a maximum over a struct per key, which each task sorts and combines before the shuffle: a key with a third of all
+rows is no hot group.  The vector of a block is the complement of the positions that the index points to, so no row is joined to find
+superseded rows, and what moves is one bit per live row.  Blocks without a set bit have no vector.
+
+A table that takes batches (:class:`MergeOnReadTable`) keeps its index in buckets of keys.  A batch reads and rewrites the buckets of its keys
+alone, and adds vectors of just the bits that it sets; a reader puts the vectors of a block together with a bitwise or.
 
 Defined results.  Rows with a null or empty key are changes of nothing and never live.  Repeated changes are harmless.  Null in any other
 column is carried along.  Empty tables give empty states.  Other columns of the log, whatever their names, stay in the images.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from amberlog.functions.names import is_delete, key_of
 from amberlog.functions.times import change_time
-from amberlog.plans.scratch import written
+from amberlog.plans.scratch import discard, written
 
 #: Positions per block of a delete vector: the bitmap size of Spark's bitmap functions.
 BLOCK = 32_768
@@ -54,27 +57,23 @@ def key_index(positions: DataFrame, key: Column, order: Column, tombstone: Colum
 
 
 def _blocks(positions: DataFrame, file: str, pos: str, bits: str) -> DataFrame:
-    return (
-        positions.groupBy(F.col(file).alias("file"), F.floor(F.col(pos) / BLOCK).alias("block"))
-        .agg(F.bitmap_construct_agg((F.col(pos) % BLOCK).cast("bigint")).alias(bits), F.max(F.col(pos) % BLOCK).alias(f"{bits}_top"))
-        .select("file", "block", bits, f"{bits}_top")
-    )
+    """(file, block, bits): a bitmap of the given positions of each block."""
+    return positions.groupBy(F.col(file).alias("file"), F.floor(F.col(pos) / BLOCK).alias("block")).agg(F.bitmap_construct_agg((F.col(pos) % BLOCK).cast("bigint")).alias(bits))
 
 
 def _complement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    full = np.full(BLOCK // 8, 0xFF, np.uint8)
     for b in batches:
-        alive, out = b.column("alive").to_pylist(), []
-        for here, live in zip(b.column("here").to_pylist(), alive, strict=True):
-            x = np.frombuffer(here, np.uint8)
-            out.append((x if live is None else x & ~np.frombuffer(live, np.uint8)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(out, pa.binary())], ["file", "block", "dead"])
+        out = [(full if live is None else ~np.frombuffer(live, np.uint8)) for live in b.column("alive").to_pylist()]
+        kept = [i for i, x in enumerate(out) if x.any()]
+        yield pa.RecordBatch.from_arrays([b.column("file").take(kept), b.column("block").take(kept), pa.array([out[i].tobytes() for i in kept], pa.binary())], ["file", "block", "dead"])
 
 
 def delete_vectors(positions: DataFrame, index: DataFrame) -> DataFrame:
-    """(file, block, dead): a bitmap of the superseded or deleted positions of each block of each file."""
-    here = _blocks(positions, FILE, POS, "here")
-    alive = _blocks(index.where("not dead"), "file", "pos", "alive")
-    x = here.join(alive, ["file", "block"], "left").select("file", "block", "here", "alive")
+    """(file, block, dead): a bitmap of the superseded or deleted positions of each block that has any; bits beyond the end of a file mean nothing."""
+    last = positions.groupBy(F.col(FILE).alias("file")).agg(F.max(POS).alias("last"))
+    there = last.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / BLOCK))).alias("block"))
+    x = there.join(_blocks(index.where("not dead"), "file", "pos", "alive"), ["file", "block"], "left").select("file", "block", "alive")
     return x.mapInArrow(_complement, "file string, block bigint, dead binary")
 
 
@@ -103,31 +102,58 @@ def current_state(log: DataFrame, key: str = "id", seq: str = "seq", mt: str = "
 
 
 class MergeOnReadTable:
-    """A table under ``root`` to which batches of changes are applied one after the other; each batch adds files and versions, rewrites none."""
+    """A table under ``root`` to which batches of changes are applied one after the other; each batch adds files and versions, rewrites none.
+
+    The index lies in ``buckets`` of keys; a manifest per version says which version wrote each bucket last.  What a batch reads and writes
+    grows with the batch and the buckets that its keys fall into, not with the table: no image and no vector of an earlier batch is read.
+    Applying a version again overwrites just what it wrote, so a batch that runs twice counts once.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "id", seq: str = "seq", mt: str = "mt", tp: str = "tp"):
+    def __init__(self, spark: SparkSession, root: str, key: str = "id", seq: str = "seq", mt: str = "mt", tp: str = "tp", buckets: int = 64, version: int = -1):
         self.spark, self.root, self.key, self.seq, self.mt, self.tp = spark, root.rstrip("/"), key, seq, mt, tp
-        self.version = -1
+        self.buckets, self.version = buckets, version
 
     def _at(self, what: str, version: int) -> str:
         return f"{self.root}/{what}/v={version}"
 
+    def _manifest(self, version: int) -> dict[int, int]:
+        """Bucket -> version that holds it; at most ``buckets`` rows."""
+        return {r["bucket"]: r["held"] for r in self.spark.read.parquet(self._at("manifest", version)).collect()} if version >= 0 else {}
+
+    def _index(self, held: dict[int, int], schema: str) -> DataFrame:
+        paths = [f"{self._at('index', v)}/bucket={b}" for b, v in held.items()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def apply(self, changes: DataFrame) -> None:
-        """Appends the images of a batch, moves the index on, and sets the bits of the images that it superseded."""
+        """Appends the images of a batch, moves the index of its keys on, and sets the bits of the images that it superseded."""
         v = self.version + 1
         changes.write.mode("overwrite").parquet(self._at("images", v))
-        fresh = with_positions(self.spark.read.parquet(self._at("images", v)))
-        index = key_index(fresh, key_of(self.key), order_of(F.col(self.seq), F.col(self.mt)), is_delete(self.tp))
-        if v:
-            index = self.spark.read.parquet(self._at("index", v - 1)).unionByName(index)
-            index = index.groupBy("key").agg(F.max(F.struct("ord", "file", "pos", "dead")).alias("v")).select("key", "v.*")
-        index.write.mode("overwrite").parquet(self._at("index", v))
+        fresh = with_positions(self.spark.read.schema(changes.schema).parquet(self._at("images", v)))
+        best = key_index(fresh, key_of(self.key), order_of(F.col(self.seq), F.col(self.mt)), is_delete(self.tp))
+        best = written(best.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")), "batch")
+        manifest = self._manifest(v - 1)
+        touched = sorted(r["bucket"] for r in best.select("bucket").distinct().collect())
+        schema = "key string, ord struct<at: bigint, first: bigint>, file string, pos bigint, dead boolean"
+        old = self._index({b: manifest[b] for b in touched if b in manifest}, schema)
+        image = ("ord", "file", "pos", "dead")
+        both = best.select("key", F.struct(*image).alias("new"), "bucket").join(old.select("key", F.struct(*image).alias("old"), F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("b")), "key", "full")
+        top = written(both.select("key", F.coalesce("bucket", "b").alias("bucket"), "new", "old", F.greatest("new", "old").alias("top")), "moved")
+        top.select("key", *(F.col(f"top.{c}") for c in image), "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("index", v))
+        won = top.where("new is not null and (old is null or new > old)")
+        in_batch = delete_vectors(fresh.select(FILE, POS), won.select("new.*"))
+        before = _blocks(won.where("old is not null and not old.dead").select("old.file", "old.pos"), "file", "pos", "dead")
+        in_batch.unionByName(before).write.mode("overwrite").parquet(self._at("vectors", v))
+        held = manifest | dict.fromkeys(touched, v)
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, held int").coalesce(1).write.mode("overwrite").parquet(self._at("manifest", v))
         self.version = v
-        delete_vectors(self._images().select(FILE, POS), self.spark.read.parquet(self._at("index", v))).write.mode("overwrite").parquet(self._at("vectors", v))
+        discard(top)
+        discard(best)
 
     def _images(self) -> DataFrame:
         return with_positions(self.spark.read.parquet(*(self._at("images", i) for i in range(self.version + 1))))
 
     def read(self) -> DataFrame:
         """The current state."""
-        return read_live(self._images(), self.spark.read.parquet(self._at("vectors", self.version))).drop(FILE, POS)
+        vectors = self.spark.read.parquet(*(self._at("vectors", i) for i in range(self.version + 1)))
+        merged = written(vectors.groupBy("file", "block").agg(F.bitmap_or_agg("dead").alias("dead")), "vectors")
+        return read_live(self._images(), merged).drop(FILE, POS)

@@ -1,7 +1,7 @@
 """Entity-attribute-value rows to one wide, typed row per entity.
 
-The attributes and their types are discovered first (a declared list, of which the size is checked); then one pass groups by entity with one
-conditional aggregate per attribute.  All aggregates are minima, maxima and counts, which combine before the shuffle: an entity with a third
+The attributes and their types are discovered first (a declared list, as long as the wide table has columns); then one pass groups by entity with one
+conditional aggregate per attribute, in plans of at most A_PLAN attributes each.  All aggregates are minima, maxima and counts, which combine before the shuffle: an entity with a third
 of all rows costs its group no more than another.  Duplicates are resolved explicitly: of the values that fit the type, the least counts
 (for strings by code point); how many values there were and fitted is kept beside.
 
@@ -11,13 +11,15 @@ entities are left out.  Repeated rows change nothing but the count.  Values out
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberlog.functions.names import local_lower, trimmed
 
-#: Most attributes that one plan takes; discovery fails beyond it, since each is an expression of the plan.
-MAX_ATTRIBUTES = 2_000
+#: Attributes that one plan takes, since each is a handful of its expressions; more of them are pivoted by several plans.
+A_PLAN = 500
 _DIGITS = r"^[+-]?\d+$"
 _GROUPED = r"^[+-]?\d{1,3}(?:[ \x{00a0}\x{202f}\x{2009}]\d{3})+$"
 _REAL = r"^[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?$"
@@ -47,15 +49,34 @@ def typed(s: Column, kind: str) -> Column:
 def discover(declared: DataFrame) -> list[tuple[str, str, bool]]:
     """[(attribute, type, single_valued)] in order of priority and name; the first row of a name counts."""
     rows = declared.select(local_lower("about").alias("a"), F.coalesce("range_of", F.lit("string")).alias("t"), F.coalesce("single_valued", F.lit(False)).alias("s"), "priority")
-    rows = rows.where("a <> ''").limit(MAX_ATTRIBUTES + 1).collect()
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes are declared")
     first: dict[str, tuple[str, str, bool]] = {}
-    for r in sorted(rows, key=lambda r: (r.priority is None, r.priority or 0, r.a, r.t)):
+    for r in sorted(rows.where("a <> ''").collect(), key=lambda r: (r.priority is None, r.priority or 0, r.a, r.t)):
         first.setdefault(r.a, (r.a, r.t.strip().lower(), r.s))
     return list(first.values())
 
 
+def portions(attributes: list[tuple[str, str, bool]]) -> list[list[tuple[str, str, bool]]]:
+    """The attributes in portions that a plan takes; one empty portion if there are none."""
+    return [attributes[i : i + A_PLAN] for i in range(0, len(attributes), A_PLAN)] or [[]]
+
+
+def wide_table(facts: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
+    """The wide rows of any number of attributes: portions are pivoted one by one and joined by entity."""
+    first, *others = (wide_rows(pivot(facts, some), some) for some in portions(attributes))
+    for more in others:
+        first = first.join(more, "subj")
+    return first
+
+
+def unclean(facts: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
+    """The unclean cells of any number of attributes."""
+    return functools.reduce(DataFrame.unionByName, (unclean_cells(pivot(facts, some), some) for some in portions(attributes)))
+
+
+def all_counts(facts: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, (counts(pivot(facts, some), some) for some in portions(attributes)))
+
+
 def pivot(facts: DataFrame, attributes: list[tuple[str, str, bool]], entity: str = "subj", attribute: str = "pred", value: str = "obj") -> DataFrame:
     """One row per entity: for attribute number i the columns v{i} (its value), n{i} (values given), f{i} (of those, fitting), d{i} (whether two differ)."""
     a, s = F.col("a"), F.col("s")

@@ -195,7 +195,7 @@ def word_tokens(spark, sf):
 
 @query(f"select doc_id, count(*) as c from (select doc_id, unnest({_SPLIT}) as w from documents) t where w in ('the', 'and', 'of') group by doc_id order by c desc, doc_id limit 20")
 def word_rank(spark, sf):
-    return words.search(words.word_table(_t(spark, sf, "documents"), "doc_id", "text"), "doc_id", "the and of")
+    return words.search_texts(_t(spark, sf, "documents"), "doc_id", "text", "the and of")
 
 
 @query("select coalesce(d.norm, e.event_type) as w, count(*) as n from events e left join (values ('click', 'view'), ('signup', 'register')) d(form, norm) on e.event_type = d.form group by 1")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberlog.functions.names import class_key, local_lower
+from amberlog.functions.names import class_key, key_of, local_lower
 from amberlog.operators import changes, hierarchy, nested, orphans, wide
+from amberlog.plans import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return changes.current_state(_table(spark, sf, "rrecord_log")).select(F.col("__key").alias("id"), "seq")
 
 
+def p2_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same state from three batches of changes, in the order of the log, applied one after the other to a table in the shared folder."""
+    log = _table(spark, sf, "rrecord_log")
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    table = changes.MergeOnReadTable(spark, scratch.new_folder(spark, "batches"))
+    third = (last - first) // 3 + 1 if first is not None else 1
+    for i in range(3):
+        begin = (first or 0) + i * third
+        table.apply(log.where((F.col("seq") >= begin) & (F.col("seq") < begin + third)))
+    return table.read().select(key_of("id").alias("id"), "seq")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     e = nested.held(nested.label_nodes(_table(spark, sf, "fog_raw")))
     return e.select("raw_id", "entry_path", "kind", F.coalesce("holder_id", F.lit("")).alias("holder"))
@@ -76,18 +89,15 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    attributes = wide.discover(_table(spark, sf, "onto_props"))
-    return wide.unclean_cells(wide.pivot(_table(spark, sf, "triples"), attributes), attributes)
+    return wide.unclean(_table(spark, sf, "triples"), wide.discover(_table(spark, sf, "onto_props")))
 
 
 def p5_wide(spark: SparkSession, sf: str) -> DataFrame:
-    attributes = wide.discover(_table(spark, sf, "onto_props"))
-    return wide.wide_rows(wide.pivot(_table(spark, sf, "triples"), attributes), attributes)
+    return wide.wide_table(_table(spark, sf, "triples"), wide.discover(_table(spark, sf, "onto_props")))
 
 
 def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
-    attributes = wide.discover(_table(spark, sf, "onto_props"))
-    return wide.counts(wide.pivot(_table(spark, sf, "triples"), attributes), attributes)
+    return wide.all_counts(_table(spark, sf, "triples"), wide.discover(_table(spark, sf, "onto_props")))
 
 
 def p5_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +105,7 @@ def p5_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_hierarchy, p1_all_descendants, p2_found, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide, p5_counts, p5_values)}
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_hierarchy, p1_all_descendants, p2_found, p2_batches, p3_found, p3_records, p3_entries, p4_found, p4_report, p5_found, p5_wide, p5_counts, p5_values)}
 
 
 # the same by SQL, for queries that SQL can express on whole tables
@@ -197,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_all_hierarchy": _P1_ALL_HIERARCHY,
         "p1_all_descendants": _P1_ALL_DESCENDANTS,
         "p2_found": STATE + " select k as id, seq from winner where tp <> 'delete'",
+        "p2_batches": STATE + " select k as id, seq from winner where tp <> 'delete'",
         "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
         "p4_report": _ORPHANS + " select tp, strftime(arrived, '%Y-%m') as month, status, count(*) as n_refs, count(distinct target) as n_targets from found where status is not null group by 1, 2, 3",
         "p5_found": _P5,

@@ -50,16 +50,28 @@ def _clean_up() -> None:
 atexit.register(_clean_up)
 
 
+def _kept(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    _made.append((jpath, fs))
+    return jpath, fs
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _kept(spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, with column pruning and filter pushdown for later reads; removed when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    _made.append((jpath, fs))
+    at = _kept(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = (jpath, fs)
+    out._written_at = at
     return out
 
 

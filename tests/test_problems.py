@@ -189,6 +189,25 @@ def test_batches_equal_one_batch(spark, tmp_path):
         assert sorted((r.k, r.seq) for r in table.read().select(key_of("id").alias("k"), "seq").collect()) == want
 
 
+def test_a_batch_touches_only_its_own_buckets(spark, tmp_path):
+    """A small batch rewrites the index buckets of its keys and adds vectors of the files it superseded rows in; a batch applied twice counts once."""
+    schema = "seq bigint, mt string, id string, tp string"
+    table = changes.MergeOnReadTable(spark, str(tmp_path / "t"), buckets=16)
+    table.apply(spark.createDataFrame([(i, None, f"k{i}", "x") for i in range(200)], schema).repartition(4))
+    assert len(table._manifest(0)) == 16
+    small = spark.createDataFrame([(900, "2020-01-01", "k7", "y"), (901, "2020-01-01", "k8", "delete"), (902, None, "k9", "late")], schema)
+    for _ in range(2):
+        table.version = 0
+        table.apply(small)
+        touched = {b for b, v in table._manifest(1).items() if v == 1}
+        assert 0 < len(touched) <= 3
+        assert spark.read.parquet(table._at("index", 1)).select("bucket").distinct().count() == len(touched)
+        bits = spark.read.parquet(table._at("vectors", 1)).select(F.sum(F.bitmap_count("dead"))).first()[0]
+        assert bits >= 4  # k7 and k8 of the first batch, the tombstone and the late row of the second
+        got = {r.id: r.seq for r in table.read().select("id", "seq").collect()}
+        assert got == {f"k{i}": i for i in range(200) if i != 8} | {"k7": 900}
+
+
 def test_blocks_of_vectors(spark, tmp_path, monkeypatch):
     """Files longer than a block, with vectors joined instead of broadcast."""
     n = changes.BLOCK + 500
@@ -202,8 +221,8 @@ def test_blocks_of_vectors(spark, tmp_path, monkeypatch):
 def test_orphans_of_hard_rows(spark, tmp_path, monkeypatch):
     df, rows = log_frame(spark, tmp_path, nasty_log())
     want = brute.orphans(as_dicts(rows))
-    for hot in (1, 256):  # with one and with only hot targets
-        monkeypatch.setattr(orphans, "HOT", hot)
+    for piece in (1, 20, 10_000):  # with only hot targets, some, none
+        monkeypatch.setattr(orphans, "PIECE", piece)
         got = orphans.orphans(orphans.references(df), orphans.parents(df))
         assert sorted((r.seq, r.pos, r.status) for r in got.collect()) == want
     assert orphans.orphans(orphans.references(df.limit(0)), orphans.parents(df.limit(0))).collect() == []
@@ -305,6 +324,17 @@ def test_wide_of_hard_rows(spark):
     assert wide.unclean_cells(wide.pivot(facts.limit(0), attributes), attributes).collect() == []
 
 
+def test_more_attributes_than_a_plan_takes(spark, monkeypatch):
+    monkeypatch.setattr(wide, "A_PLAN", 2)
+    attributes = [(f"a{i}", "integer", True) for i in range(5)]
+    rows = [("x", f"a{i}", v) for i in range(5) for v in ("1", "no" if i % 2 else "2")] + [("y", "a4", "old")]
+    facts = spark.createDataFrame(rows, "subj string, pred string, obj string")
+    assert {tuple(r) for r in wide.unclean(facts, attributes).collect()} == {("x", "a0", "conflict"), ("x", "a2", "conflict"), ("x", "a4", "conflict"), ("y", "a4", "untyped")}
+    got = {r.subj: tuple(r)[1:] for r in wide.wide_table(facts, attributes).collect()}
+    assert got == {"x": (1, 1, 1, 1, 1), "y": (None,) * 5}
+    assert wide.unclean(facts, []).collect() == [] and wide.wide_table(facts, []).count() == 2
+
+
 def test_no_value_of_many_is_lost(spark):
     attributes = [("part", "string", False), ("age", "integer", True)]
     rows = [("x", "part", "b"), ("x", "o:Part", " a "), ("x", "part", "b"), ("x", "age", "1 000"), ("x", "age", "1000"), ("x", "age", "old"), ("y", "part", " "), ("y", "else", "z")]
