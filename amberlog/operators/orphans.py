@@ -1,8 +1,9 @@
 """References to records that do not exist: missing, deleted or defined later.
 
 References and parents are co-partitioned by key, sorted, and merged in one linear pass: Spark's sort-merge join, asked for by a hint.  A
-parent is one row per key with its validity: the first row that defines it, and whether it still exists in the end.  The keys with the most
-references are salted, and only their parents are repeated, so a key with a third of all references spreads over tasks.
+parent is one row per key with its validity: the first row that defines it, and whether it still exists in the end.  A key with more references
+than a PARTS-th of all (and than PIECE) is salted into as many pieces as it has such portions, and only its parent is repeated: no task gets
+more than a portion of one key, however large the log, and fewer than PARTS keys are salted, whatever the data.
 
 Defined results.  Null or blank links are no references.  Referring rows of deletions are left out, null entries and other tags too.  Null
 ids define nothing.  Repeated rows refer once each.  An empty log has no references.  Other columns of the log are ignored.
@@ -10,7 +11,7 @@ ids define nothing.  Repeated rows refer once each.  An empty log has no referen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from amberlog.functions.entries import narrowed
@@ -18,8 +19,8 @@ from amberlog.functions.names import is_delete, key_of
 from amberlog.operators.changes import order_of
 from amberlog.plans.scratch import cut
 
-#: Pieces of a hot key, and how many keys count as hot: those with the most references.
-SALTS, HOT = 32, 256
+#: References that a piece of a hot key has at least, and the portions that all references are thought of as.
+PIECE, PARTS = 10_000, 2_048
 
 
 def references(log: DataFrame) -> DataFrame:
@@ -37,15 +38,14 @@ def parents(log: DataFrame) -> DataFrame:
 
 def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     """The references of ``refs`` whose target is missing, deleted or late, with that status."""
-    # found in one pass that sums before it shuffles; at most HOT rows, whatever the data
-    counts = refs.groupBy("target").agg(F.count(F.lit(1)).alias("n_refs"))
-    hot = F.broadcast(cut(counts.orderBy(F.desc("n_refs"), "target").limit(HOT).select(F.col("target").alias("hot_key"))))
-    salted = refs.join(hot, F.col("target") == F.col("hot_key"), "left").withColumn(
-        "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("seq", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    spread = known.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
+    # found in one pass that sums before it shuffles and counts all references on the way; at most PARTS rows, whatever the data
+    all_ = Observation()
+    counts = refs.observe(all_, F.count(F.lit(1)).alias("n")).groupBy("target").agg(F.count(F.lit(1)).alias("n_refs"))
+    top = cut(counts.orderBy(F.desc("n_refs"), "target").limit(PARTS))
+    portion = PIECE if top.isEmpty() else max(PIECE, all_.get["n"] // PARTS)
+    hot = F.broadcast(top.where(F.col("n_refs") > portion).select(F.col("target").alias("hot_key"), F.ceil(F.col("n_refs") / portion).cast("int").alias("pieces")))
+    salted = refs.join(hot, F.col("target") == F.col("hot_key"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("seq", "pos"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
+    spread = known.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0))))).drop("pieces")
     r, k = salted.drop("hot_key").hint("merge").alias("r"), spread.drop("hot_key").alias("k")
     status = F.when(F.col("k.since").isNull(), "missing").when(~F.col("k.exists"), "deleted").when(F.col("k.since") > F.col("r.seq"), "late")
     return (
