@@ -1,6 +1,7 @@
 """The append log: newest row per key shadows the older ones, and only then are empty rows hidden.
 
-The newest row is a maximum over a struct, which combines before the shuffle: no sort, no window, and a key with very many rows is no hot task.
+The newest row is a maximum over a struct.  Each task sorts its own rows by key and combines them before the shuffle, so a key with very many
+rows is one row per task there and no hot group, as it would be in a window.
 Null keys are keys of their own kind and are left out of the current view.  Ties of the order take the greatest row.
 """
 

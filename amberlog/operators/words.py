@@ -35,6 +35,22 @@ def normal_forms(lines: DataFrame, line: str = "value") -> DataFrame:
     return x.where("form <> ''").groupBy("form").agg(F.min_by("norm", "pos").alias("norm"))
 
 
+def occurrences(text: Column | str, wanted: list[str]) -> Column:
+    """How often any of some words occurs in a text: one expression over the text, which makes no list of all of its words."""
+    if not wanted:
+        return F.lit(0)
+    outside = "[^" + _CLASS[1:-2] + "]"
+    words_ = "|".join(re.escape(w) for w in sorted(set(wanted)))
+    return F.regexp_count(F.lower(text), F.lit(f"(?<!{outside})(?:{words_})(?!{outside})"))
+
+
+def search_texts(rows: DataFrame, key: str, text: str, query: str, n: int = 20) -> DataFrame:
+    """(key, c) as :func:`search`, from the texts themselves: texts without a hit are dropped before anything is shuffled."""
+    wanted = [w for w in re.split(_CLASS, query.lower()) if w]
+    hits = rows.select(key, occurrences(text, wanted).cast("bigint").alias("c")).where("c > 0").groupBy(key).agg(F.sum("c").alias("c"))
+    return hits.orderBy(F.desc("c"), key).limit(n)
+
+
 def search(table: DataFrame, key: str, query: str, n: int = 20, forms: DataFrame | None = None) -> DataFrame:
     """(key, c): keys by the number of occurrences of query words, most first, then by key.
 
