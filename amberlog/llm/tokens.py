@@ -17,17 +17,20 @@ however long; a chunk grows with its longest text.  Repeated rows are encoded ea
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary lies, unless given.
+#: Where the vocabulary lies on the driver, unless given, and the most bytes that it may have, since it is sent to every executor.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+MAX_VOCABULARY_BYTES = 64 << 20
 #: UTF-8 bytes of text that are encoded together, and ranks per block of the index.
 CHUNK_BYTES, BLOCK_RANKS = 6_000_000, 1_024
 #: Fixed values of the pattern: contractions that are pieces of their own.
@@ -54,9 +57,8 @@ def char_classes() -> np.ndarray:
 class Vocabulary:
     """Symbols of single bytes and the pairs that merge, from a tokenizer file with a vocabulary and ordered merges."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, data: bytes):
+        model = json.loads(data)["model"]
         vocab: dict[str, int] = model["vocab"]
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -106,9 +108,34 @@ class Vocabulary:
         return out.astype(np.int32)
 
 
+def file_bytes(path: str) -> bytes:
+    size = os.path.getsize(path)
+    if size > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"the vocabulary {path} has {size} bytes, more than {MAX_VOCABULARY_BYTES}")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @functools.lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return Vocabulary(file_bytes(path))
+
+
+#: What this process has read from broadcasts, by digest; a worker parses a vocabulary once, whatever number of tasks it runs.
+_parsed: dict[str, Vocabulary] = {}
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
+    """A function that gives the vocabulary wherever it runs: the file is read on the driver, its size checked, and its bytes are broadcast."""
+    data = file_bytes(path)
+    digest, held = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+    def get() -> Vocabulary:
+        if digest not in _parsed:
+            _parsed[digest] = Vocabulary(held.value)
+        return _parsed[digest]
+
+    return get
 
 
 def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -274,9 +301,8 @@ def chunks(text: pa.Array) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def encode_array(text: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_array(text: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, ids, ids per row) for chunks of a string array."""
-    vocab = vocabulary(path)
     for i, j in chunks(text):
         part = pc.fill_null(text.slice(i, j - i), "").cast(pa.large_binary())
         sizes = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -288,10 +314,11 @@ def encode_array(text: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarr
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids): the token ids of every text."""
+    vocab = shipped(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, ids, counts in encode_array(b.column(1), path):
+            for i, j, ids, counts in encode_array(b.column(1), vocab()):
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["key", "ids"])
 
@@ -301,10 +328,11 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
 
 def token_counts(documents: DataFrame, keep: list[str], text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of every text, without keeping its ids."""
+    vocab = shipped(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.concatenate([c for *_, c in encode_array(b.column(len(keep)), path)]) if b.num_rows else np.zeros(0, np.int64)
+            n = np.concatenate([c for *_, c in encode_array(b.column(len(keep)), vocab())]) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
     x = documents.select(*keep, F.col(text).cast("string").alias("__text"))

@@ -19,7 +19,7 @@ def public():
 
 def ours(texts):
     out = []
-    for _, _, ids, counts in tokens.encode_array(pa.array(texts, pa.string()), PATH):
+    for _, _, ids, counts in tokens.encode_array(pa.array(texts, pa.string()), tokens.vocabulary(PATH)):
         ends = np.cumsum(counts)
         out += [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
     return out
