@@ -27,6 +27,31 @@ def inherited(ancestors: DataFrame, declared: DataFrame) -> DataFrame:
     return ancestors.join(declared, F.col("anc") == F.col("cls")).select(F.col("id").alias("tp"), "prop").distinct()
 
 
+def direct_props(ancestors: DataFrame, declared: DataFrame) -> DataFrame:
+    """(tp, prop, pos): own and inherited properties of every class, by the classes they are declared for, in order of priority (null last) and name."""
+    return _ordered(ancestors, declared, "domain_of")
+
+
+def inverse_props(ancestors: DataFrame, declared: DataFrame) -> DataFrame:
+    """(tp, prop, pos): the object properties that may point to a class, by the classes of their range, own and inherited."""
+    return _ordered(ancestors, declared.where("kind = 'ObjectProperty'"), "range_of")
+
+
+def _ordered(ancestors: DataFrame, declared: DataFrame, side: str) -> DataFrame:
+    x = ancestors.join(declared.select(F.col("about").alias("prop"), F.col(side).alias("__side"), "priority"), F.col("anc") == F.col("__side"))
+    x = x.groupBy(F.col("id").alias("tp"), "prop").agg(F.min("priority").alias("priority"))
+    w = Window.partitionBy("tp").orderBy(F.col("priority").asc_nulls_last(), "prop")  # a class has as many rows as properties are declared
+    return x.select("tp", "prop", (F.row_number().over(w) - 1).alias("pos"))
+
+
+def domains(declared: DataFrame, prop: str) -> DataFrame:
+    return declared.where(F.col("about") == prop).select(F.col("domain_of").alias("tp")).where("tp is not null").distinct()
+
+
+def ranges(declared: DataFrame, prop: str) -> DataFrame:
+    return declared.where(F.col("about") == prop).select(F.col("range_of").alias("tp")).where("tp is not null").distinct()
+
+
 def positions(declared: DataFrame, by: str = "domain_of") -> DataFrame:
     """(tp, prop, pos, total): the properties of each type in order of priority (null last) and name, from 0."""
     w = Window.partitionBy(by).orderBy(F.col("priority").asc_nulls_last(), "about")
@@ -67,3 +92,12 @@ def template(tp: str, declared: DataFrame, ancestors: DataFrame, depth: int = 2,
         return graph.Template(fields=fields, direct=direct, inverse={p["about"]: shape(p["domain_of"], level - 1, p["about"]) for p in back})
 
     return shape(tp, depth, None)
+
+
+def portrait_tree(id_: str, records: DataFrame, declared: DataFrame, ancestors: DataFrame, depth: int = 2) -> DataFrame:
+    """The tree of one record by the template of its type, in one call; no rows if there is no such record."""
+    own = records.where(F.col("id") == id_).select("id", "tp").limit(1)
+    found = own.first()
+    if found is None:
+        return graph.tree(own, records, graph.Template())
+    return graph.tree(own, records, template(found["tp"], declared, ancestors, depth), ancestors)

@@ -46,41 +46,102 @@ def two_hops(start: DataFrame, middle: DataFrame, end: DataFrame, first: Column,
 
 @dataclass
 class Template:
-    """What a tree shows of a record: properties of fields, and templates by property for direct and inverse links."""
+    """What a tree shows of a record: properties of fields, and templates by property for direct and inverse links.
+
+    ``types`` are the types of the records that a template is for (any if empty): those at the end of a direct link match with their
+    subclasses, those at the other end of an inverse link exactly.  Several templates of a property tell its types apart; the first that
+    matches counts.
+    """
 
     fields: tuple[str, ...] = ()
-    direct: dict[str, Template] = field(default_factory=dict)
-    inverse: dict[str, Template] = field(default_factory=dict)
+    direct: dict[str, Template | tuple[Template, ...]] = field(default_factory=dict)
+    inverse: dict[str, Template | tuple[Template, ...]] = field(default_factory=dict)
     types: tuple[str, ...] = ()
 
 
-def tree(ids: DataFrame, records: DataFrame, template: Template) -> DataFrame:
+def tree(ids: DataFrame, records: DataFrame, template: Template, ancestors: DataFrame | None = None) -> DataFrame:
     """(root, path, level, id, tp, prop, value, lang): the tree of every id in ``ids`` at once, one row per field of every node.
 
     One join per level of the template for all ids together, instead of a lookup per link.  ``path`` spells the predicates walked, with ^ for
-    inverse ones.  Rows rather than nested values, so a hot node has no list to hold.
+    inverse ones.  Rows rather than nested values, so a hot node has no list to hold.  ancestors: (anc, id), each class with itself.
     """
     all_links, all_fields = links(records), fields(records)
+    types = records.select(F.col("id").alias("__t_id"), F.col("tp").alias("__tp"))
+
+    def matching(nodes: DataFrame, options: tuple[Template, ...], subclasses: bool) -> list[tuple[DataFrame, Template]]:
+        """The nodes that each template is for."""
+        if not any(t.types for t in options):
+            return [(nodes, options[0])]
+        typed = nodes.join(types, F.col("id") == F.col("__t_id"))
+        chosen = F.lit(None).cast("int")
+        for i, t in reversed(list(enumerate(options))):
+            fits = F.lit(True) if not t.types else F.col("__kinds").isNotNull() & F.arrays_overlap("__kinds", F.array(*map(F.lit, t.types)))
+            chosen = F.when(fits, i).otherwise(chosen)
+        if subclasses and ancestors is not None:
+            up = ancestors.groupBy(F.col("id").alias("__c")).agg(F.collect_set("anc").alias("__up"))  # as long as the class tree is deep
+            typed = typed.join(up, F.col("__tp") == F.col("__c"), "left").withColumn("__kinds", F.coalesce("__up", F.array("__tp")))
+        else:
+            typed = typed.withColumn("__kinds", F.array("__tp"))
+        typed = typed.withColumn("__i", chosen)
+        return [(typed.where(F.col("__i") == i).select(*nodes.columns), t) for i, t in enumerate(options)]
 
     def walk(nodes: DataFrame, t: Template, path: str, level: int) -> list[DataFrame]:
         f = all_fields.where(F.col("prop").isin(list(t.fields))) if t.fields else all_fields
-        here = nodes.join(f.where(F.col("tp").isin(list(t.types))) if t.types else f, "id")
-        out = [here.select("root", F.lit(path).alias("path"), F.lit(level).alias("level"), "id", "tp", "prop", "value", "lang")]
+        out = [nodes.join(f, "id").select("root", F.lit(path).alias("path"), F.lit(level).alias("level"), "id", "tp", "prop", "value", "lang")]
         for p, sub in t.direct.items():
             step = all_links.where(F.col("prop") == p).select("id", "target")
-            out += walk(nodes.join(step, "id").select("root", F.col("target").alias("id")), sub, f"{path}/{p}", level + 1)
+            reached = nodes.join(step, "id").select("root", F.col("target").alias("id"))
+            for some, shape in matching(reached, sub if isinstance(sub, tuple) else (sub,), True):
+                out += walk(some, shape, f"{path}/{p}", level + 1)
         for p, sub in t.inverse.items():
             step = all_links.where(F.col("prop") == p).select(F.col("id").alias("source"), F.col("target").alias("id"))
-            out += walk(nodes.join(step, "id").select("root", F.col("source").alias("id")), sub, f"{path}/^{p}", level + 1)
+            reached = nodes.join(step, "id").select("root", F.col("source").alias("id"))
+            for some, shape in matching(reached, sub if isinstance(sub, tuple) else (sub,), False):
+                out += walk(some, shape, f"{path}/^{p}", level + 1)
         return out
 
-    parts = walk(ids.select(F.col("id").alias("root"), "id").distinct(), template, "", 0)
+    start = ids.select(F.col("id").alias("root"), "id").distinct()
+    parts = [x for some, t in matching(start, (template,), False) for x in walk(some, t, "", 0)]
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
     return result
 
 
+def plain_tree(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """(root, path, level, id, tp, prop, value, lang, target): fields and links of records, of what they link to and of what links to them, and the
+    fields of what these link to.
+
+    Of a record that links to the root, the links by the predicate that led to it are left out, so the tree does not lead back.
+    """
+    all_links, shown = links(records), ("id", "tp", "prop", "value", "lang", "target")
+    nothing = F.lit(None).cast("string")
+    entries = fields(records).withColumn("target", nothing).select(*shown).unionByName(all_links.select("id", "tp", "prop", nothing.alias("value"), nothing.alias("lang"), "target"))
+    step = all_links.select(F.col("id").alias("a"), F.col("prop").alias("p"), F.col("target").alias("b"))
+    roots = ids.select(F.col("id").alias("root")).distinct()
+
+    def node(x: DataFrame, id_: str, path: Column, level: int, back: Column) -> DataFrame:
+        return x.select("root", F.col(id_).alias("__id"), path.alias("path"), F.lit(level).alias("level"), back.alias("back"))
+
+    own = node(roots, "root", F.lit(""), 0, nothing)
+    direct = node(roots.join(step, F.col("root") == F.col("a")), "b", F.concat(F.lit("/"), "p"), 1, nothing)
+    inverse_ = node(roots.join(step, F.col("root") == F.col("b")), "a", F.concat(F.lit("/^"), "p"), 1, F.col("p"))
+    near = direct.unionByName(inverse_)
+    forward = F.col("back").isNull() | (F.col("p") != F.col("back"))
+    far = node(near.join(step, (F.col("__id") == F.col("a")) & forward), "b", F.concat("path", F.lit("/"), "p"), 2, nothing)
+    nodes = own.unionByName(near).unionByName(far)
+    x = nodes.join(entries, F.col("__id") == F.col("id"))
+    return x.where(F.col("target").isNull() | ((F.col("level") < 2) & (F.col("back").isNull() | (F.col("prop") != F.col("back"))))).select("root", "path", "level", *shown)
+
+
+def tree_records(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, tp, props): the records that the trees are of, with the fields that the trees show and their links."""
+    shown = rows.where("level = 0 and value is not null").select("id", "tp", F.struct(F.lit(1).alias("tag"), "prop", "value", "lang", F.lit(None).cast("string").alias("link")).alias("e"))
+    roots = rows.select(F.col("root").alias("id")).distinct()
+    own = links(records).join(roots, "id", "left_semi").select("id", "tp", F.struct(F.lit(2).alias("tag"), "prop", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"), F.col("target").alias("link")).alias("e"))
+    return shown.unionByName(own).groupBy("id", "tp").agg(F.array_sort(F.collect_list("e")).alias("props"))
+
+
 def generic_tree(ids: DataFrame, records: DataFrame) -> DataFrame:
     """(root, level, direction, prop, id, tp): a record, what it links to, and what links to it, by predicate and type."""
     here = ids.join(records.select("id"), "id", "left_semi").select(F.col("id").alias("root")).distinct()
@@ -177,3 +238,22 @@ def link_of(props: Column, prop: str) -> Column:
 def sources_of(props: Column, prop: str) -> Column:
     """The sources of all inverse links of a property, in order."""
     return F.transform(F.filter(props, lambda e: (e["tag"] == 3) & (e["prop"] == prop)), lambda e: e["sourcelink"])
+
+
+def with_entry(props: Column, at: Column | int, **changes: Column) -> Column:
+    """The entries with parts of the one at a position set anew; a position outside changes nothing."""
+
+    def set_parts(e: Column, i: Column) -> Column:
+        out = e
+        for name, value in changes.items():
+            out = out.withField(name, value)
+        return F.when(i == at, out).otherwise(e)
+
+    return F.transform(props, set_parts)
+
+
+def dates_of(props: Column, start: str = "from-date", end: str = "to-date") -> Column:
+    """The dates of a record as one label."""
+    from amberlog.functions.labels import date_range
+
+    return date_range(field_of(props, start), field_of(props, end))

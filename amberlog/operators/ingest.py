@@ -16,6 +16,12 @@ def without_deleted(rows: DataFrame, key: str, deletions: DataFrame, deleted: st
     return rows.join(deletions.select(F.col(deleted).alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
 
 
+def latest_substitutes(rows: DataFrame, old: str, new: str, order: str, deleted: DataFrame | None = None, deleted_id: str = "id") -> DataFrame:
+    """(a, b): one pair per old id, the last in ``order`` (of equal ones the greatest new id); ids that are deleted are substituted by nothing."""
+    last = rows.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(F.col(old).alias("a")).agg(F.max_by(new, F.struct(order, new)).alias("b"))
+    return last if deleted is None else last.join(deleted.select(F.col(deleted_id).alias("__gone")), F.col("a") == F.col("__gone"), "left_anti")
+
+
 def substitutes(pairs: DataFrame, old: str = "a", new: str = "b") -> DataFrame:
     """(old_id, new_id): the end of the chain of every id, by pointer doubling: a chain of length L takes log L joins, not L.
 
@@ -43,6 +49,40 @@ def redirect(rows: DataFrame, link: str, ends: DataFrame) -> DataFrame:
     return rows.join(e, F.col(link) == F.col("__old"), "left").withColumn(link, F.coalesce("__new", link)).drop("__old", "__new")
 
 
+def redirect_entries(records: DataFrame, ends: DataFrame, props: str = "props") -> DataFrame:
+    """Records whose links to substituted ids point to what stands for them, entry by entry and in order.
+
+    Only records that hold such a link are taken apart; the entries of one record lay in one row and do so again.
+    """
+    e = ends.select(F.col("old_id").alias("__old"), F.col("new_id").alias("__new"))
+    x = cut(records.withColumn("__row", F.monotonically_increasing_id()))  # written, so that numbers stay what they are
+    moved = x.select("__row", F.explode(F.filter(F.transform(props, lambda e: e["link"]), lambda v: v.isNotNull())).alias("__old")).distinct().join(e, "__old")
+    maps = moved.groupBy(F.col("__row").alias("__r")).agg(F.map_from_entries(F.collect_set(F.struct("__old", "__new"))).alias("__map"))
+    to = lambda e: F.when(e["link"].isNotNull(), F.coalesce(F.try_element_at(F.col("__map"), e["link"]), e["link"]))
+    done = F.when(F.col("__map").isNull(), F.col(props)).otherwise(F.transform(props, lambda e: e.withField("link", to(e))))
+    return x.join(maps, F.col("__row") == F.col("__r"), "left").withColumn(props, done).drop("__row", "__r", "__map")
+
+
+def ingested(rows: DataFrame, change_time: Column, seed: tuple[str, str] | None = None) -> DataFrame:
+    """(id, tp, mt, props) from the rows of record files: deleted and substituted ids left out, the last definition of each other id, links redirected.
+
+    rows: (file, place, kind, id, new_id, tp, mt, props), in the order of file and place.
+    """
+    order = F.struct("file", "place")
+    deleted = rows.where("kind = 'delete'").select("id").distinct()
+    pairs = latest_substitutes(rows.where("kind = 'substitute'").withColumn("__at", order), "id", "new_id", "__at", deleted)
+    ends = substitutes(pairs)
+    own = without_deleted(rows.where("kind = 'record'"), "id", deleted, "id")
+    own = own.join(ends.select(F.col("old_id").alias("__gone")), F.col("id") == F.col("__gone"), "left_anti")
+    at = F.struct(change_time.isNotNull().alias("known"), change_time.alias("time"))
+    # the latest time counts, and of equal times the first row
+    best = own.groupBy("id").agg(F.max(at).alias("__at")).withColumnRenamed("id", "__id")
+    tied = own.withColumn("__own", at).join(best, (F.col("id") == F.col("__id")) & F.col("__own").eqNullSafe(F.col("__at")))
+    last = tied.groupBy("id").agg(F.min_by(F.struct("tp", "mt", "props"), order).alias("__v")).select("id", "__v.*")
+    out = redirect_entries(last, ends)
+    return with_seed(out, *seed) if seed else out
+
+
 def with_seed(records: DataFrame, id_: str, tp: str) -> DataFrame:
     """Records with the one row that every base starts from, unless it is there."""
     seed = records.sparkSession.createDataFrame([(id_, tp)], "id string, tp string")

@@ -65,3 +65,21 @@ def without_flagged(rows: DataFrame, flag: str) -> DataFrame:
 def collisions(rows: DataFrame, code: Column, *keys: str) -> DataFrame:
     """(n_rows, n_codes, n_keys): how often different keys share a code."""
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(code).alias("n_codes"), F.count_distinct(*keys).alias("n_keys"))
+
+
+def stored_order(rows: DataFrame, order: str) -> DataFrame:
+    """All rows in the order in which they were stored: a sort by ranges."""
+    return rows.orderBy(order)
+
+
+def at(rows: DataFrame, order: str, position: int) -> DataFrame:
+    """The row at a position: a filter that reaches the scan."""
+    return rows.where(F.col(order) == position)
+
+
+def overwritten(rows: DataFrame, order: str, changes: DataFrame) -> DataFrame:
+    """Rows with those at the positions of ``changes`` replaced by them (columns that changes lack stay); other positions of changes are ignored."""
+    given = [c for c in changes.columns if c != order]
+    new = changes.select(F.col(order).alias("__at"), *(F.col(c).alias(f"__{c}") for c in given), F.lit(True).alias("__hit"))
+    x = rows.join(new, F.col(order) == F.col("__at"), "left")
+    return x.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in rows.columns))

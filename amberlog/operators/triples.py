@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from amberlog.operators import names
 from amberlog.operators.lookup import ranked
+from amberlog.plans.scratch import cut
 
 
 def by_subject(triples: DataFrame, s: str) -> DataFrame:
@@ -61,3 +62,24 @@ def replace(record_rows: DataFrame, changed: DataFrame, is_delete: Column) -> Da
     """Records with those of ``changed`` put in the place of all of the same id; changed records that are deletions only remove."""
     kept = record_rows.join(changed.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti")
     return kept.unionByName(changed.where(~is_delete))
+
+
+def encode_records(record_rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Records with ids, properties and linked entities as codes of a name table, values kept; strings that have no code give null.
+
+    Entries are coded as rows and come together again by record and place, so no record is more than it was.
+    """
+    x = cut(record_rows.withColumn("__row", F.monotonically_increasing_id()))  # written, so that numbers stay what they are
+
+    def coded(column: str, value: Column, kept: tuple[str, ...]) -> DataFrame:
+        e = x.select("__row", F.posexplode(column).alias("at", "e")).select("__row", "at", F.col("e.prop").alias("__p"), value.alias("__v"), *(F.col(f"e.{c}").alias(c) for c in kept))
+        return names.codes_of(e, "__p", table, "prop")
+
+    d = names.codes_of(coded("directs", F.col("e.entity"), ()), "__v", table, "entity")
+    d = d.groupBy(F.col("__row").alias("__d")).agg(F.array_sort(F.collect_list(F.struct("at", "prop", "entity"))).alias("__directs"))
+    f = coded("fields", F.lit(None).cast("string"), ("value", "lang"))
+    f = f.groupBy(F.col("__row").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("at", "prop", "value", "lang"))).alias("__fields"))
+    out = names.codes_of(x, "id", table, "code").join(d, F.col("__row") == F.col("__d"), "left").join(f, F.col("__row") == F.col("__f"), "left")
+    directs = F.transform("__directs", lambda e: F.struct(e["prop"].alias("prop"), e["entity"].alias("entity")))
+    fields_ = F.transform("__fields", lambda e: F.struct(e["prop"].alias("prop"), e["value"].alias("value"), e["lang"].alias("lang")))
+    return out.select(F.col("code").alias("id"), F.coalesce(directs, F.array()).alias("directs"), F.coalesce(fields_, F.array()).alias("fields"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Callable
 
@@ -45,16 +46,21 @@ def write(value, kind: Kind) -> bytes:
 
 
 class Reader:
-    """Reads values from bytes, one after the other."""
+    """Reads values from bytes or from a stream, one after the other; of a stream no more is held than a value needs."""
 
-    def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+    def __init__(self, data, at: int = 0):
+        self.stream = data if hasattr(data, "read") else io.BytesIO(data)
+        if at:
+            self.stream.seek(at)
 
     def _bytes(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            raise ValueError("the data end within a value")
-        self.at += n
-        return self.data[self.at - n : self.at]
+        out = self.stream.read(n)
+        while len(out) < n:
+            more = self.stream.read(n - len(out))
+            if not more:
+                raise ValueError("the data end within a value")
+            out += more
+        return out
 
     def _string_length(self) -> int:
         n = shift = 0
@@ -90,8 +96,9 @@ class Reader:
         return self._bytes(self._string_length()).decode("utf-8", "surrogatepass")
 
     def _character(self) -> str:
-        lead = self.data[self.at]
-        return self._bytes(1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4).decode()
+        first = self._bytes(1)
+        lead = first[0]
+        return (first + self._bytes(0 if lead < 0x80 else 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3)).decode()
 
 
 def read(data: bytes, kind: Kind):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberlog.functions.names import key_of
-from amberlog.sources import binary_form, text_form
+from amberlog.sources import binary_form, record_xml, streams, text_form
 from amberlog.sources.typed import Kind, from_spark, spark_type, text_column, to_spark
 
 
@@ -25,32 +26,48 @@ def _rows(values: Iterator, kind: Kind, columns: list[str]) -> Iterator[pd.DataF
 
 
 def read_text(spark: SparkSession, path: str, kind: Kind) -> DataFrame:
-    """A table from text sequences of records, one per file; a file is one task, many files are many."""
+    """A table from text sequences of records, one per file; a file is one task and is read in pieces, whatever its size."""
     names = [n for n, _ in kind.parts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for text in f["value"]:
-                yield from _rows(text_form.read_flow(text, kind), kind, names)
+            for file in f["path"]:
+                yield from _rows(text_form.read_pieces(streams.texts(file), kind), kind, names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, spark_type(kind))
+    return streams.paths(spark, path).mapInPandas(run, spark_type(kind))
 
 
 def read_binary(spark: SparkSession, path: str, kind: Kind) -> DataFrame:
-    """A table from binary files of a count and that many records each."""
+    """A table from binary files of a count and that many records each; a file is one task and is read as a stream."""
     names = [n for n, _ in kind.parts]
 
-    def values(data: bytes) -> Iterator:
-        r = binary_form.Reader(data)
-        for _ in range(r.value(Kind("longinteger"))):
-            yield r.value(kind)
+    def values(file: str) -> Iterator:
+        with streams.opened(file) as stream:
+            r = binary_form.Reader(io.BufferedReader(_Raw(stream)))
+            for _ in range(r.value(Kind("longinteger"))):
+                yield r.value(kind)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for data in f["content"]:
-                yield from _rows(values(data), kind, names)
+            for file in f["path"]:
+                yield from _rows(values(file), kind, names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, spark_type(kind))
+    return streams.paths(spark, path).mapInPandas(run, spark_type(kind))
+
+
+class _Raw(io.RawIOBase):
+    """An Arrow stream as a raw one of Python, so that small reads are buffered."""
+
+    def __init__(self, stream):
+        self._stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        data = self._stream.read(len(b))
+        b[: len(data)] = data
+        return len(data)
 
 
 def write_text(rows: DataFrame, kind: Kind, path: str) -> None:
@@ -59,6 +76,36 @@ def write_text(rows: DataFrame, kind: Kind, path: str) -> None:
     rows.select(text_column(record, kind).alias("value")).write.mode("overwrite").text(path)
 
 
+def _between(rows: DataFrame, first: str, last: str, separated: bool, texts) -> DataFrame:
+    """(value): the lines of each partition as the lines of one file: a first one, those of the rows, a last one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [first]})
+        some = False
+        for f in frames:
+            lines = texts(f)
+            if separated:
+                lines = [("," if some or i else "") + t for i, t in enumerate(lines)]
+            some = some or bool(lines)
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": [last]})
+
+    return rows.mapInPandas(run, "value string")
+
+
+def write_sequences(rows: DataFrame, kind: Kind, path: str) -> None:
+    """One text sequence per partition, as a file with a line per record."""
+    texts = lambda f: [text_form.write(from_spark(r, kind), kind) for r in f.itertuples(index=False)]
+    _between(rows.select(*(n for n, _ in kind.parts)), "[", "]", True, texts).write.mode("overwrite").text(path)
+
+
+def write_records(rows: DataFrame, path: str, owner: str | None = None, prefix: str | None = None, counter: str | None = None, mode: str = "overwrite") -> None:
+    """Record files in XML, one per partition, from rows (id, tp, mt, props); with mode append, more files of edits beside those that are there."""
+    head, last = record_xml.document([], owner, prefix, counter).split("\n")[0], "</rdf:RDF>"
+    text = record_xml.xml_text(F.col("id"), F.col("tp"), F.col("mt"), F.col("props"))
+    _between(rows.select(text.alias("value")), head, last, False, lambda f: list(f["value"])).write.mode(mode).text(path)
+
+
 def binary_column(rows: DataFrame, kind: Kind) -> DataFrame:
     """(content): the binary form of every record, in Arrow batches."""
 

@@ -163,3 +163,50 @@ def read_flow(text: str, element: Kind) -> Iterator:
     r = Reader(text)
     for _ in r.items("[", "]"):
         yield r.value(element)
+
+
+_MARKS = re.compile(r'["\\\[\]{},]')
+
+
+def elements(pieces: Iterator[str]) -> Iterator[str]:
+    """The texts of the elements of one sequence that comes in pieces; no more than an element and a piece are held."""
+    held: list[str] = []  # of the element that is open
+    depth, quoted, escaped, empty = 0, False, False, True
+    for piece in pieces:
+        begin = at = 0
+        while at < len(piece):
+            if escaped:
+                escaped, at = False, at + 1
+                continue
+            m = _MARKS.search(piece, at)
+            if not m:
+                break
+            c, at = m[0], m.end()
+            if quoted:
+                escaped, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "[{":
+                depth += 1
+                if depth == 1:
+                    begin = at
+            elif c in "]}" or c == "," and depth == 1:
+                if depth == 1:
+                    held.append(piece[begin : at - 1])
+                    text = "".join(held)
+                    held, begin = [], at
+                    if c == "," or not empty or text.strip():
+                        yield text
+                    empty = False
+                if c != ",":
+                    depth -= 1
+                    if not depth:
+                        return
+        if depth:
+            held.append(piece[begin:])
+    raise ValueError("a sequence does not end")
+
+
+def read_pieces(pieces: Iterator[str], element: Kind) -> Iterator:
+    """The elements of a text sequence that comes in pieces, one by one."""
+    return (read(text, element) for text in elements(pieces))

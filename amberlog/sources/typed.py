@@ -80,7 +80,7 @@ def from_spark(value, kind: Kind):
     if kind.name == "record":
         return tuple(from_spark(v, k) for v, (_, k) in zip(value, kind.parts, strict=True))
     if kind.name == "sequence":
-        return [from_spark(v, kind.element) for v in value or ()]
+        return [] if value is None else [from_spark(v, kind.element) for v in value]
     if kind.name == "union":
         tag = value[0]
         places = [i for i, (_, k) in enumerate(kind.parts) if k.name != "none"]

@@ -1,6 +1,6 @@
 import pytest
 
-from amberlog.plans import catalogue, problems
+from amberlog.plans import catalogue, coverage, problems  # noqa: F401
 from tests.oracle import differences
 
 SQL = catalogue.oracle_sql() | problems.oracle_sql()
