@@ -134,10 +134,10 @@ def plain_tree(ids: DataFrame, records: DataFrame) -> DataFrame:
     return x.where(F.col("target").isNull() | ((F.col("level") < 2) & (F.col("back").isNull() | (F.col("prop") != F.col("back"))))).select("root", "path", "level", *shown)
 
 
-def tree_records(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, tp, props): the records that the trees are of, with the fields that the trees show and their links."""
+def tree_records(rows: DataFrame, records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, tp, props): the records that trees of ``ids`` are of, with the fields that the trees show and their links."""
     shown = rows.where("level = 0 and value is not null").select("id", "tp", F.struct(F.lit(1).alias("tag"), "prop", "value", "lang", F.lit(None).cast("string").alias("link")).alias("e"))
-    roots = rows.select(F.col("root").alias("id")).distinct()
+    roots = ids.select("id").distinct()
     own = links(records).join(roots, "id", "left_semi").select("id", "tp", F.struct(F.lit(2).alias("tag"), "prop", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"), F.col("target").alias("link")).alias("e"))
     return shown.unionByName(own).groupBy("id", "tp").agg(F.array_sort(F.collect_list("e")).alias("props"))
 

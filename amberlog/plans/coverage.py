@@ -361,8 +361,8 @@ def portrait_in_one_call(spark, sf):
 @query(f"{_RECORDS} select f.id, count(*) as n from (select id from field where tp = 'naming' and value is not null union all select id from link where tp = 'naming' and target <> '') f group by 1")
 def trees_as_records(spark, sf):
     r = _records(spark, sf)
-    t = graph.tree(r.where("tp = 'naming'"), r, graph.Template())
-    return graph.tree_records(t, r).where("tp = 'naming'").select("id", F.size("props").cast("bigint").alias("n"))
+    ids = r.where("tp = 'naming'")
+    return graph.tree_records(graph.tree(ids, r, graph.Template()), r, ids).select("id", F.size("props").cast("bigint").alias("n"))
 
 
 @query(

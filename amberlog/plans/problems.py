@@ -183,6 +183,86 @@ else s end as v from fact f join onto_props p on lower(p.about) = f.pred)
 select subj, pred, status from (select subj, pred, case when count(v) = 0 then 'untyped' when bool_or(single_valued) and count(distinct v) > 1 then 'conflict' end as status from cell group by subj, pred) t where status is not null"""
 
 
+_CELLS = _P5[: _P5.index("\nselect subj, pred, status")]
+_P5_COUNTS = _CELLS + " select subj, pred, count(*) as n_values, count(v) as n_fitting from cell group by subj, pred"
+
+
+# nested records: one step of the recursion goes from records over their entries to the records within
+
+
+def _text_sql(x: str) -> str:
+    return f"json_extract_string({x}, '$')"
+
+
+def _valid_sql(x: str) -> str:
+    """JSON as the standard has it: without the numbers and commas that this engine lets pass beside it."""
+    bare = f"regexp_replace({x}, '\"(\\\\.|[^\"\\\\])*\"', '', 'g')"
+    return f"(json_valid({x}) and not regexp_matches({bare}, ',\\s*[\\]}}]|[Nn][Aa][Nn]|[Ii][Nn][Ff]'))"
+
+
+def _tag_sql(x: str) -> str:
+    s = _text_sql(x)
+    return (
+        f"case json_type({x}) when 'UBIGINT' then try_cast({s} as bigint) when 'BIGINT' then try_cast({s} as bigint) when 'DOUBLE' then case when try_cast({s} as double) = floor(try_cast({s} as double)) then try_cast(try_cast({s} as double) as bigint) end "
+        f"when 'VARCHAR' then case when regexp_full_match({s}, '\\s*\\+?[0-9]{{1,9}}\\s*') then try_cast(replace(trim({s}), '+', '') as bigint) else case lower(trim({s})) when 'field' then 1 when 'objprop' then 2 when 'invlink' then 3 end end end"
+    )
+
+
+def _items_sql(x: str) -> str:
+    return f"case json_type({x}) when 'ARRAY' then json_extract({x}, '$[*]') else [{x}] end"
+
+
+def _filled_sql(x: str) -> str:
+    return f"(json_type({x}) = 'OBJECT' and len(json_keys({x})) > 0)"
+
+
+def _named_sql(what: str) -> str:
+    """The number or content of an entry named by its variant."""
+    return "case " + " ".join(f"when {_filled_sql(f"json_extract(e, '$.{n}')")} then {k if what == 'k' else f"json_extract(e, '$.{n}')"}" for k, n in ((1, "field"), (2, "objprop"), (3, "invlink"))) + " end"
+
+
+def _entries_sql(rec: str) -> str:
+    """(raw_id, path, r, i, k, c): the filled entries of the records of a table."""
+    p = "json_extract(r, '$.props')"
+    first, second = "json_extract(p, '$[0]')", "json_extract(p, '$[1]')"
+    lone = f"json_type(p) = 'ARRAY' and json_array_length(p) = 2 and json_type({first}) not in ('OBJECT', 'ARRAY') and ({_tag_sql(first)}) is not null and json_type({second}) in ('OBJECT', 'NULL')"
+    listed = f"select raw_id, path, r, case when p is null or json_type(p) = 'NULL' then [] when {lone} then [p] else {_items_sql('p')} end as es from (select raw_id, path, r, {p} as p from {rec}) a"
+    each = f"select raw_id, path, r, unnest(es) as e, unnest(range(len(es))) as i from ({listed}) b"
+    pair = f"case when {_filled_sql("json_extract(e, '$[1]')")} then "
+    k = f"case json_type(e) when 'ARRAY' then {pair} {_tag_sql("json_extract(e, '$[0]')")} end when 'OBJECT' then case when json_extract(e, '$.tag') is not null then case when len(json_keys(e)) > 1 then {_tag_sql("json_extract(e, '$.tag')")} end else {_named_sql('k')} end end"
+    c = f"case json_type(e) when 'ARRAY' then json_extract(e, '$[1]') when 'OBJECT' then case when json_extract(e, '$.tag') is not null then e else {_named_sql('c')} end end"
+    return f"select raw_id, path, r, i, k, c from (select raw_id, path, r, i, {k} as k, {c} as c from ({each}) d) f where k in (1, 2, 3)"
+
+
+def _records_within_sql(entries: str) -> str:
+    v = "json_extract(c, '$.record')"
+    inner = f"case json_type(v) when 'VARCHAR' then case when {_valid_sql(_text_sql('v'))} then case when json_type(cast({_text_sql('v')} as json)) <> 'VARCHAR' then cast({_text_sql('v')} as json) end end else v end"
+    listed = f"select raw_id, path || [i] as path, {inner} as v from (select raw_id, path, i, {v} as v from ({entries}) g where k > 1) h where v is not null and json_type(v) <> 'NULL'"
+    each = f"select raw_id, path, unnest({_items_sql('v')}) as r, unnest(range(len({_items_sql('v')}))) as j from ({listed}) m where v is not null"
+    return f"select raw_id, path || [j] as path, r from ({each}) n where json_type(r) = 'OBJECT'"
+
+
+_NESTED = f"""with recursive top as (select raw_id, cast(body as json) as v from fog_raw where body is not null and {_valid_sql("body")}),
+rec(raw_id, path, r) as (select raw_id, [j] as path, r from (select raw_id, unnest({_items_sql("v")}) as r, unnest(range(len({_items_sql("v")}))) as j from top) t where json_type(r) = 'OBJECT'
+union all {_records_within_sql(_entries_sql("rec"))}),
+ent as ({_entries_sql("rec")}),
+node as (select raw_id, path from rec union all select raw_id, path || [i] from ent),
+ranked as (select raw_id, path, row_number() over (partition by raw_id order by path) - 1 as place from node),
+sized as (select a.raw_id, a.path, a.place, count(*) as n from ranked a join ranked b on b.raw_id = a.raw_id and b.path[1:len(a.path)] = a.path group by all),
+span as (select raw_id, path, cast(len(path) - 1 as integer) as level, cast(2 * place - (len(path) - 1) as integer) as pre, cast(2 * place - (len(path) - 1) + 2 * n - 1 as integer) as post from sized)"""
+_KIND = "case k when 1 then 'field' when 2 then 'objprop' else 'invlink' end"
+_P3_FOUND = _NESTED + f" select raw_id, array_to_string(path || [i], '.') as entry_path, {_KIND} as kind, coalesce({_text_sql("json_extract(r, '$.id')")}, '') as holder from ent"
+_P3_RECORDS = (
+    _NESTED
+    + f" select s.raw_id, s.pre, s.post, s.level, array_to_string(s.path, '.') as record_path, {_text_sql("json_extract(r, '$.id')")} as id, {_text_sql("json_extract(r, '$.tp')")} as tp, {_text_sql("json_extract(r, '$.mT')")} as mt from rec join span s on s.raw_id = rec.raw_id and s.path = rec.path"
+)
+_P3_ENTRIES = (
+    _NESTED
+    + f" select s.raw_id, s.pre, s.post, s.level, array_to_string(s.path, '.') as entry_path, {_KIND} as kind, "
+    + ", ".join(f"{_text_sql(f"json_extract(c, '$.{n}')")} as {n}" for n in ("prop", "value", "lang"))
+    + f", case k when 2 then {_text_sql("json_extract(c, '$.link')")} when 3 then {_text_sql("json_extract(c, '$.sourcelink')")} end as target, {_text_sql("json_extract(r, '$.id')")} as holder_id, array_to_string(ent.path, '.') as holder_path from ent join span s on s.raw_id = ent.raw_id and s.path = ent.path || [ent.i]"
+)
+
 #: The declared properties of the test tables, fixed and clean: type by name.
 _DECLARED = {
     "name": "string", "alias": "string", "age": "integer", "birth-date": "date", "height": "real", "is-alive": "boolean", "from-date": "date", "uri": "string", "n-pages": "integer", "exposure": "real",
@@ -194,8 +274,7 @@ _DECLARED = {
 def _wide_sql() -> str:
     cast = {"integer": "decimal(38, 0)", "real": "double", "boolean": "boolean", "date": "date"}
     columns = ", ".join(f"min(cast(case when c.pred = '{a}' then c.v end as {cast.get(k, 'varchar')})) as \"{a}\"" for a, k in _DECLARED.items())
-    cells = _P5[: _P5.index("\nselect subj, pred, status")]
-    return f"{cells} select a.subj, {columns} from (select distinct subj from triples where subj is not null) a left join cell c on c.subj = a.subj group by a.subj"
+    return f"{_CELLS} select a.subj, {columns} from (select distinct subj from triples where subj is not null) a left join cell c on c.subj = a.subj group by a.subj"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -208,7 +287,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_all_descendants": _P1_ALL_DESCENDANTS,
         "p2_found": STATE + " select k as id, seq from winner where tp <> 'delete'",
         "p2_batches": STATE + " select k as id, seq from winner where tp <> 'delete'",
+        "p3_found": _P3_FOUND,
+        "p3_records": _P3_RECORDS,
+        "p3_entries": _P3_ENTRIES,
         "p4_found": _ORPHANS + " select seq, pos, status from found where status is not null",
         "p4_report": _ORPHANS + " select tp, strftime(arrived, '%Y-%m') as month, status, count(*) as n_refs, count(distinct target) as n_targets from found where status is not null group by 1, 2, 3",
         "p5_found": _P5,
+        "p5_counts": _P5_COUNTS,
     }
