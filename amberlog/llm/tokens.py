@@ -125,17 +125,19 @@ def vocabulary(path: str) -> Vocabulary:
 _parsed: dict[str, Vocabulary] = {}
 
 
+def parsed(digest: str, data: Callable[[], bytes]) -> Vocabulary:
+    """The vocabulary of a digest.  Workers find this function by its name, so all tasks of a process share what it holds."""
+    if digest not in _parsed:
+        _parsed[digest] = Vocabulary(data())
+    return _parsed[digest]
+
+
 def shipped(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
     """A function that gives the vocabulary wherever it runs: the file is read on the driver, its size checked, and its bytes are broadcast."""
     data = file_bytes(path)
     digest, held = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
-    def get() -> Vocabulary:
-        if digest not in _parsed:
-            _parsed[digest] = Vocabulary(held.value)
-        return _parsed[digest]
-
-    return get
+    return lambda: parsed(digest, lambda: held.value)
 
 
 def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
