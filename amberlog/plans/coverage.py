@@ -320,6 +320,11 @@ def _ancestors(spark) -> DataFrame:
     return classes.with_self(classes.tree_of(spark.createDataFrame(_TREE, "id string, parent string"), "id", "parent"))
 
 
+@query(f"{_TREE_SQL} select distinct anc.id as tp, o.about as prop from anc join onto_props o on o.domain_of = anc.anc")
+def props_by_type(spark, sf):
+    return classes.inherited(_ancestors(spark), _t(spark, sf, "onto_props").select(F.col("about").alias("prop"), F.col("domain_of").alias("cls")))
+
+
 @query(f"{_TREE_SQL} select anc.id as tp, o.about as prop, cast(row_number() over (partition by anc.id order by o.priority nulls last, o.about) - 1 as integer) as pos from anc join onto_props o on o.domain_of = anc.anc")
 def direct_properties(spark, sf):
     return classes.direct_props(_ancestors(spark), _t(spark, sf, "onto_props"))
@@ -465,7 +470,7 @@ def record_files_ingested(spark, sf):
     problems._CLASSES.split(",\nup as")[0]
     + ", pair as (select k as a, p as b from last where p <> ''), walk(a, c) as (select a, b from pair union select w.a, p.b from walk w join pair p on p.a = w.c), ends as (select w.a, w.c from walk w left join pair p on p.a = w.c where p.a is null) select p.a as old_id, coalesce(e.c, p.a) as new_id from pair p left join ends e on e.a = p.a"
 )
-def substitute_closure_all(spark, sf):
+def substitute_closure(spark, sf):
     from amberlog.functions.names import class_key
 
     rows = _t(spark, sf, "ontology_class").select(class_key("about").alias("a"), F.nullif(class_key("subclassof"), F.lit("")).alias("b"), "def_seq").where("a <> ''")
@@ -474,7 +479,7 @@ def substitute_closure_all(spark, sf):
 
 
 @query("select p_brand, p_type, count(*) as n from part where p_size > 25 group by all union all select o.p_brand, o.p_type, o.n from (select p_brand, p_type, count(*) as n from part where p_size <= 25 group by all) o left join (select distinct p_brand, p_type from part where p_size > 25) w on w.p_brand = o.p_brand and w.p_type = o.p_type where w.p_brand is null")
-def update_merge_all(spark, sf):
+def update_merge(spark, sf):
     counts = lambda rows: rows.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
     p = _t(spark, sf, "part")
     return graph.merge_fields(counts(p.where("p_size <= 25")), counts(p.where("p_size > 25")), ["p_brand", "p_type"])
