@@ -148,7 +148,8 @@ def peel(links: DataFrame, paths: bool = False, residue: int | None = None, max_
         "k", F.when(loop, F.least("k", "least")).otherwise(F.col("k")).alias("root"), F.when(loop, -1).otherwise(0).cast("bigint").alias("steps"),
         F.when(~loop, path).alias("path"), F.when(~loop, F.col("sz")).alias("descendants"), loop.alias("on_loop"),
     )
-    rest = marked.where("open").select("k", "p", *edge.columns, "sz", "esz").coalesce(1).mapInArrow(_finish(paths), FINISHED)
+    # a shuffle, since merely coalescing would pull the joins above into the one task
+    rest = marked.where("open").select("k", "p", *edge.columns, "sz", "esz").repartition(1).mapInArrow(_finish(paths), FINISHED)
     return closed.unionByName(rest), gone
 
 

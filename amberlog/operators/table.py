@@ -87,7 +87,10 @@ class Table:
         return self.rows.sparkSession.read.parquet(self.built[i]) if i in self.built else self._entries(i)
 
     def _rows_of(self, found: DataFrame) -> DataFrame:
-        return self.current().join(found.select("__key"), F.col(self.key) == F.col("__key")).drop("__key")
+        """The current rows of the keys found, a row per find; only rows of these keys are grouped."""
+        keys = found.select("__key").distinct()
+        own = log.current(self.rows.join(keys, F.col(self.key) == F.col("__key"), "left_semi"), self.key, self.order, self.is_empty)
+        return own.join(found.select("__key"), F.col(self.key) == F.col("__key")).drop("__key")
 
     def all_using(self, i: int, value) -> DataFrame:
         """The rows that an index finds by a value."""

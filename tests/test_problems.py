@@ -189,6 +189,16 @@ def test_batches_equal_one_batch(spark, tmp_path):
         assert sorted((r.k, r.seq) for r in table.read().select(key_of("id").alias("k"), "seq").collect()) == want
 
 
+def test_empty_batches(spark, tmp_path):
+    schema = "seq bigint, mt string, id string, tp string"
+    table = changes.MergeOnReadTable(spark, str(tmp_path / "t"), buckets=4)
+    table.apply(spark.createDataFrame([], schema))
+    assert table.read().collect() == []
+    table.apply(spark.createDataFrame([(1, None, "a", "x"), (2, None, None, "x"), (3, None, " ", "x")], schema))
+    table.apply(spark.createDataFrame([], schema))
+    assert [(r.id, r.seq) for r in table.read().select("id", "seq").collect()] == [("a", 1)]
+
+
 def test_a_batch_touches_only_its_own_buckets(spark, tmp_path):
     """A small batch rewrites the index buckets of its keys and adds vectors of the files it superseded rows in; a batch applied twice counts once."""
     schema = "seq bigint, mt string, id string, tp string"
