@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from amberlog.functions.entries import narrowed
 from amberlog.functions.names import is_delete, key_of
-from amberlog.operators.changes import order_of
+from amberlog.operators.changes import packed_order
 from amberlog.plans.scratch import cut
 
 #: References that a piece of a hot key has at least, and the portions that all references are thought of as.
@@ -32,8 +32,9 @@ def references(log: DataFrame) -> DataFrame:
 
 def parents(log: DataFrame) -> DataFrame:
     """(key, since, exists): first defining sequence number (null: only deletions) and whether the record exists after all changes."""
-    x = log.select(key_of("id").alias("key"), F.struct(order_of(F.col("seq"), F.col("mt")).alias("ord"), is_delete("tp").alias("dead")).alias("v"), "seq").where("key <> ''")
-    return x.groupBy("key").agg(F.min(F.when(~F.col("v.dead"), F.col("seq"))).alias("since"), F.max("v").alias("v")).select("key", "since", (~F.col("v.dead")).alias("exists"))
+    dead = is_delete("tp")
+    x = log.select(key_of("id").alias("key"), packed_order(F.col("seq"), F.col("mt"), dead).alias("order"), F.when(~dead, F.col("seq")).alias("defined")).where("key <> ''")
+    return x.groupBy("key").agg(F.min("defined").alias("since"), F.max("order").alias("last")).select("key", "since", (F.col("last") % 2 == 0).alias("exists"))
 
 
 def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:

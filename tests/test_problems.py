@@ -228,6 +228,19 @@ def test_blocks_of_vectors(spark, tmp_path, monkeypatch):
     assert got == {s for s in range(20_000) if s % 7}
 
 
+def test_packed_order(spark):
+    """One number orders changes as time and sequence number do, at the ends of both, and says which are tombstones."""
+    rows = [(s, mt, d) for s in (None, -(1 << 63), -1, 0, 7, (1 << 63) - 1) for mt in (None, "bad", "0001-01-01", "2016-01-04T08:49:08.000001Z", "1/4/2016 8:49:08 AM", "9999-12-31T23:59:59.999999Z") for d in (True, False)]
+    df = spark.createDataFrame(rows, "seq bigint, mt string, dead boolean")
+    got = df.select("seq", "dead", changes.order_of(F.col("seq"), F.col("mt")).alias("o"), changes.packed_order(F.col("seq"), F.col("mt"), F.col("dead")).alias("n")).collect()
+    assert all(r.n is not None and int(r.n) % 2 == r.dead for r in got)
+    key = lambda r: (r.o["at"], float("-inf") if r.seq is None else ~r.seq, r.dead)
+    assert all((r.o["first"] is None) == (r.seq is None) for r in got)
+    assert [key(r) for r in sorted(got, key=lambda r: int(r.n))] == sorted(map(key, got))
+    plan = orphans.parents(spark.createDataFrame([], LOG))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_orphans_of_hard_rows(spark, tmp_path, monkeypatch):
     df, rows = log_frame(spark, tmp_path, nasty_log())
     want = brute.orphans(as_dicts(rows))
